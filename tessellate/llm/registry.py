@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessellate.llm import exact_dedup, simhash
+from tessellate.llm import exact_dedup, packing, quality_rules, simhash, warc
 
-MODULES = (exact_dedup, simhash)
+MODULES = (exact_dedup, simhash, quality_rules, warc, packing)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}

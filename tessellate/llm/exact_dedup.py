@@ -45,19 +45,24 @@ def exact_dedup(
         .groupBy("_digest")
         .agg(F.max("_keep").alias("_keep"), F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_texts"))
         .select(
-            F.col("_digest").alias("_won"),
+            F.unhex("_digest").alias("_won"),
             "_keep",
             F.when(F.col("_texts") == 1, F.col("_n"))
             .otherwise(F.raise_error(F.lit("different texts share a digest")).cast("long"))
             .alias("_n"),
         )
+        .filter("_n > 1")
     )
-    return keyed.join(winners, F.col("_digest") == F.col("_won")).select(
+    # Joined by the digest's bytes: the winners are dealt out anew for that, in a stage of their own, so that what
+    # a hot digest gives on the other side is a plain shuffle that adaptive execution can split.
+    rows = keyed.select("_id", F.unhex("_digest").alias("_bytes"))
+    keep = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep"))
+    return rows.join(winners, F.col("_bytes") == F.col("_won"), "left").select(
         F.col("_id").alias(id_col),
-        F.col("_keep").alias("keep_id"),
-        F.col("_n").alias("group_size"),
-        F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"),
-        F.col("_digest").alias("text_sha256"),
+        keep.alias("keep_id"),
+        F.coalesce("_n", F.lit(1).cast("long")).alias("group_size"),
+        F.col("_id").eqNullSafe(keep).alias("kept"),
+        F.lower(F.hex("_bytes")).alias("text_sha256"),
     )
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessellate.llm import exact_dedup, language_id, packing, quality_classifier, quality_rules, simhash, warc
+from tessellate.llm import exact_dedup, language_id, packing, pii, quality_classifier, quality_rules, simhash, warc
 
-MODULES = (exact_dedup, simhash, quality_rules, quality_classifier, warc, language_id, packing)
+MODULES = (exact_dedup, simhash, quality_rules, quality_classifier, warc, language_id, packing, pii)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}

@@ -73,3 +73,16 @@ def arrow_map(
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
     return source.mapInArrow(run, out)
+
+
+def arrow_filter(df: DataFrame, column: str, keeps: Callable[[list], list[bool]], rows: int = 256) -> DataFrame:
+    """The rows of ``df``, all columns kept, for which ``keeps`` says so of ``column``'s values."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                yield part.filter(pa.array(keeps(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

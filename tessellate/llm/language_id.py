@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellate.llm._common import arrow_map, table
+from tessellate.llm._common import arrow_filter, arrow_map, table
 
 BUCKETS = 1 << 16
 PER_LANGUAGE = 2_000
@@ -251,6 +251,24 @@ def learn_and_identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return identify(df, model, id_col, text_col).withColumn("held_out", F.coalesce(out, F.lit(True)))
 
 
+def keep_identified(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_share: float = 0.5
+) -> DataFrame:
+    """The rows of ``df``, all columns kept, with a language that holds ``least_share`` of the letters or more.
+
+    ``und`` goes, and so do texts in scripts that no learned language uses.
+    """
+    out = held_out(id_col, 4, 2)
+    model = fit(df.filter(~F.coalesce(out, F.lit(True))), text_col, lang_col, id_col)
+    key, broadcast = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(model)
+
+    def keeps(texts: list) -> list[bool]:
+        words = words_of(key, broadcast)
+        return [(found := label(t, words))[0] != "und" and found[2] >= least_share for t in texts]
+
+    return arrow_filter(df, text_col, keeps)
+
+
 def op8_language_id(spark, sf_dir):
     return learn_and_identify(table(spark, sf_dir, "documents")).select(
         "doc_id", "held_out", "lang_pred", "score", "lang_share", "spans"

@@ -104,6 +104,42 @@ def _rake_frame(cells: DataFrame, targets: dict[str, dict], alpha: float, sweeps
     return frame.select(*DIMS, "factor", F.least(F.lit(1.0), F.lit(high) * F.col("factor")).alias("p"))
 
 
+def _labelled(df: DataFrame, text_col: str, topic: Column | None) -> DataFrame:
+    """``df`` with _source, _lang and _topic, by which it is raked."""
+    return df.withColumns({
+        "_source": F.col("source").cast("string"),
+        "_lang": F.col("lang").cast("string"),
+        "_topic": topic_of(F.col(text_col)) if topic is None else topic.cast("string"),
+    })
+
+
+def _weights(
+    cells: DataFrame, targets: dict[str, dict] | None, alpha: float, rate: float, sweeps: int, most_cells: int
+) -> DataFrame:
+    """(source, lang, topic, factor, p) of cells (source, lang, topic, tokens)."""
+    targets = targets or {}
+    held = cells.limit(most_cells + 1).collect()
+    if len(held) > most_cells:
+        return _rake_frame(cut(cells), targets, alpha, sweeps, rate)
+    held = sorted((tuple(r) for r in held), key=lambda c: tuple((x is not None, x) for x in c[:3]))
+    factors = rake(held, targets, alpha, sweeps)
+    ps = calibrate([c[-1] for c in held], factors, rate)
+    weights = cells.sparkSession.createDataFrame(
+        [(*c[:3], f, p) for c, f, p in zip(held, factors, ps)], "source string, lang string, topic string, factor double, p double"
+    )
+    return F.broadcast(weights)  # most_cells rows at most
+
+
+def _weighed(labelled: DataFrame, weights: DataFrame, id_col: str, seed: str) -> DataFrame:
+    weights = weights.select(*[F.col(d).alias(f"_of_{d}") for d in DIMS], F.col("factor").alias("_factor"), F.round("p", 6).alias("_p"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(f"_{d}").eqNullSafe(F.col(f"_of_{d}")) for d in DIMS])
+    return labelled.join(weights, same).withColumn("_sampled", uniform(id_col, seed) < F.col("_p"))
+
+
+def _tokens(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict] | None = None, alpha: float = ALPHA,
     rate: float = RATE, sweeps: int = SWEEPS, seed: str = "mix", topic: Column | None = None, most_cells: int = CELLS,
@@ -118,37 +154,29 @@ def mix(
     - groups without tokens: their multiplier is what the other marginals give them. Empty table: no rows.
     - a table's own column ``topic``, and further columns, are neither read nor returned; pass ``topic`` to use one.
     """
-    targets = targets or {}
-    text = F.col(text_col)
-    rows = df.select(
-        F.col(id_col).cast("long").alias("_id"),
-        F.col("source").cast("string").alias("source"),
-        F.col("lang").cast("string").alias("lang"),
-        (topic_of(text) if topic is None else topic.cast("string")).alias("topic"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
+    rows = _labelled(df, text_col, topic).select(
+        F.col(id_col).alias("_id"), *[f"_{d}" for d in DIMS], _tokens(text_col).alias("_n")
     )
     rows = cut(rows)
-    cells = rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
-    held = cells.limit(most_cells + 1).collect()
-    spark = df.sparkSession
-    if len(held) <= most_cells:
-        held = sorted((tuple(r) for r in held), key=lambda c: tuple((x is not None, x) for x in c[:3]))
-        factors = rake(held, targets, alpha, sweeps)
-        ps = calibrate([c[-1] for c in held], factors, rate)
-        weights = spark.createDataFrame(
-            [(*c[:3], f, p) for c, f, p in zip(held, factors, ps)], "source string, lang string, topic string, factor double, p double"
-        )
-        weights = F.broadcast(weights)  # most_cells rows at most
-    else:
-        weights = _rake_frame(cut(cells), targets, alpha, sweeps, rate)
-    weights = weights.withColumnsRenamed({d: f"_{d}" for d in DIMS})
-    same = functools.reduce(lambda a, b: a & b, [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in DIMS])
-    return rows.join(weights, same).select(
-        F.col("_id").alias(id_col), *DIMS, "n_tokens", F.round("factor", 6).alias("weight"), F.round("p", 6).alias("p"),
-        (uniform("_id", seed) < F.round("p", 6)).alias("sampled"),
+    cells = rows.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum("_n").alias("tokens"))
+    weights = _weights(cells, targets, alpha, rate, sweeps, most_cells)
+    return _weighed(rows, weights, "_id", seed).select(
+        F.col("_id").alias(id_col), *[F.col(f"_{d}").alias(d) for d in DIMS], F.col("_n").alias("n_tokens"),
+        F.round("_factor", 6).alias("weight"), F.col("_p").alias("p"), F.col("_sampled").alias("sampled"),
     )
 
 
+def sample(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict] | None = None, alpha: float = ALPHA,
+    rate: float = RATE, sweeps: int = SWEEPS, seed: str = "mix", topic: Column | None = None, most_cells: int = CELLS,
+) -> DataFrame:
+    """The rows of ``df`` that ``mix`` samples, with all their columns."""
+    labelled = _labelled(df, text_col, topic)
+    cells = labelled.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum(_tokens(text_col)).alias("tokens"))
+    weights = _weights(cells, targets, alpha, rate, sweeps, most_cells)
+    return _weighed(labelled, weights, id_col, seed).filter("_sampled").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def op1_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 

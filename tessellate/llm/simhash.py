@@ -283,6 +283,13 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, k: int = 4) -> DataFrame:
+    """The rows of ``df``, all columns kept, whose id is the smallest of its group; rows without an id stay."""
+    gone = simhash_groups(df, id_col, text_col, width, k).filter(F.col(id_col) != F.col("component_id"))
+    gone = gone.select(F.col(id_col).alias("_id")).distinct()
+    return df.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+
+
 def op3_simhash(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
 

@@ -58,30 +58,43 @@ def script_of(letter: str) -> str:
 
 def word_script(letters: str) -> int:
     """The number in NAMES of the script of most of a word's letters, the first one on ties."""
-    if letters.isascii():
+    if max(letters) < "\u0250":
         return 0
     found = [script_of(x) for x in letters]
     return NAMES.index(max(dict.fromkeys(found), key=found.count))
 
 
-def features(letters: str) -> list[int]:
-    padded = f"\2{letters}\3"
-    grams = [padded[i : i + 3] for i in range(len(padded) - 2)]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in (*grams, padded + "\3")]
+def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, starts): the hashed trigrams of each word with a sign before and after it, and those of whole words last.
+
+    starts: where each word's trigrams begin; the whole words follow all trigrams, one for each word.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer("".join([f"\2{w}\3" for w in words]).encode("utf-32-le"), np.uint32)
+    mixed = points[:-2] * np.uint32(0x9E3779B1) ^ points[1:-1] * np.uint32(0x85EBCA77) ^ points[2:] * np.uint32(0xC2B2AE3D)
+    inside = np.ones(len(points), bool)
+    ends = (lengths + 2).cumsum()
+    inside[ends - 1] = inside[ends - 2] = False
+    whole = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words))
+    return np.concatenate([mixed[inside[:-2]] >> 16, whole >> 16]).astype(np.int64), np.cumsum(lengths) - lengths
 
 
 def count_rows(rows: dict) -> dict:
     """(lang, bucket, n) over a slice of documents; bucket -1-s counts the letters in script s."""
-    sums: dict[tuple[str, int], int] = {}
+    sums: dict[str, np.ndarray] = {}
     for lang, text in zip(rows["_lang"], rows["_text"]):
-        for token in (text or "").encode().split():
-            letters = letters_of(token.decode())
-            if letters:
-                for bucket in features(letters):
-                    sums[lang, bucket] = sums.get((lang, bucket), 0) + 1
-                at = (lang, -1 - word_script(letters))
-                sums[at] = sums.get(at, 0) + len(letters)
-    return {"lang": [k for k, _ in sums], "bucket": [b for _, b in sums], "n": list(sums.values())}
+        words = [x for t in (text or "").encode().lower().split() if (x := letters_of(t.decode()))]
+        if words:
+            own = sums.setdefault(lang, np.zeros(BUCKETS + len(NAMES), np.int64))
+            own += np.bincount(buckets(words)[0], minlength=len(own))
+            for w in words:
+                own[BUCKETS + word_script(w)] += len(w)
+    at = {k: np.flatnonzero(v) for k, v in sums.items()}
+    return {
+        "lang": [k for k, v in at.items() for _ in range(len(v))],
+        "bucket": [int(b) if b < BUCKETS else BUCKETS - 1 - int(b) for v in at.values() for b in v],
+        "n": [int(x) for k, v in at.items() for x in sums[k][v]],
+    }
 
 
 class Model:
@@ -99,39 +112,47 @@ class Model:
         self.uses = share >= LEAST_SHARE
         self.common = self.langs[int(scripts.sum(axis=0).argmax())] if self.langs else None
 
-    def score(self, letters: str) -> np.ndarray:
-        """Each language's score of a word, 0 for the best one and FLOOR at worst; zeros where no language uses the script."""
-        uses = self.uses[word_script(letters)]
-        if not uses.any():
-            return np.zeros(len(self.langs))
-        found = np.where(uses, self.logs[features(letters)].sum(axis=0), -np.inf)
-        return np.maximum(found - found.max(), FLOOR)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Each language's score of each word, 0 for the best one and FLOOR at worst; zeros where none uses the script."""
+        at, starts = buckets(words)
+        found = np.add.reduceat(self.logs[at[: -len(words)]], starts, axis=0) + self.logs[at[-len(words) :]]
+        uses = self.uses[[word_script(w) for w in words]]
+        found = np.where(uses, found, -np.inf)
+        best = found.max(axis=1, keepdims=True)
+        return np.where(np.isfinite(best), np.maximum(found - np.where(np.isfinite(best), best, 0), FLOOR), 0.0)
 
 
 class Words(dict):
-    """Rows of scores and numbers of letters by word, for at most WORDS_HELD words."""
+    """Rows of scores and numbers of letters by word, for at most WORDS_HELD words; the last row is for what has no letters."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.scores = np.zeros((WORDS_HELD + 1, len(model.langs)))
+        self.scores = np.zeros((WORDS_HELD + 1, len(model.langs)), np.float32)
         self.letters = np.zeros(WORDS_HELD + 1, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        letters = letters_of(word.decode())
-        if not letters:
-            return WORDS_HELD
-        self[word] = row = len(self)
-        self.scores[row], self.letters[row] = self.model.score(letters), len(letters)
-        return row
+        self.used = 0
+
+    def learn(self, words: list[bytes]) -> None:
+        new: dict[str, int] = {}
+        for word in words:
+            letters = letters_of(word.decode())
+            self[word] = new.setdefault(letters, self.used + len(new)) if letters else WORDS_HELD
+        if new:
+            rows = slice(self.used, self.used + len(new))
+            self.scores[rows] = self.model.scores(list(new))
+            self.letters[rows] = list(map(len, new))
+            self.used += len(new)
 
     def rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, letters) of words, WORDS_HELD of them at a time so that none is let go while in use."""
+        """(scores, letters) of words, by parts that fit with all that is held."""
         parts = []
         for i in range(0, max(1, len(words)), WORDS_HELD // 2):
             own = words[i : i + WORDS_HELD // 2]
-            if len(self) + len(own) > WORDS_HELD:
+            new = {w for w in own if w not in self}
+            if len(self) + len(new) > WORDS_HELD:
                 self.clear()
+                self.used, new = 0, set(own)
+            self.learn(list(new))
             at = np.fromiter(map(self.__getitem__, own), np.int64, len(own))
             parts.append((self.scores[at], self.letters[at]))
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -170,7 +191,7 @@ def viterbi(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
 def label(text: str | None, words: Words) -> tuple[str, float, float, str]:
     """(lang_pred, score, lang_share, spans) of one whole text; spans as lang:start:end in code points."""
     text, model = text or "", words.model
-    scores, letters = words.rows(text.encode().split())
+    scores, letters = words.rows(text.encode().lower().split())
     total = int(letters.sum())
     if not total or not model.langs:
         return "und", 0.0, 0.0, ""

@@ -24,25 +24,60 @@ CAPACITY = 2048
 END = b"\0\0\0\0"
 
 
+#: ASCII marks that end a run of letters; the apostrophe isn't one of them, as it may begin a piece with letters.
+MARKS = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: visible Latin-1 as it is, others from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)}
+
+
 class WordIds(dict):
-    """The ids of a word, packed as little-endian 32 bits; words are found by ASCII white space, at which this kind
-    of tokenizer always splits and which it drops. Holds at most ``most`` words."""
+    """The ids of a word, packed as little-endian 32 bits, for tokenizers that ignore case, drop white space and take
+    letters, single digits and other marks apart. Holds at most ``most`` words.
+
+    Words are found by ASCII white space, at which such a tokenizer always splits. Letters, and the marks that follow
+    them, are looked up apart; Latin letters alone go straight to the tokenizer's model, all else through the whole tokenizer.
+    """
 
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode, self.most = Tokenizer.from_file(path).encode, most
+        self.tokenizer, self.most, self.letters = Tokenizer.from_file(path), most, _byte_letters()
+        self.encode, self.merge = self.tokenizer.encode, self.tokenizer.model.tokenize
+
+    def ids(self, word: bytes) -> bytes:
+        if word.isalpha():
+            found = [t.id for t in self.merge(word.lower().decode())]
+        else:
+            core = word.rstrip(MARKS)
+            if core and len(core) < len(word):
+                # U+0130 in small letters ends with a mark, which would join those that follow.
+                if core.isalpha() or (text := core.decode()).isalpha() and "\u0130" not in text:
+                    return self[core] + self[word[len(core) :]]
+            text = word.decode()
+            # Below U+0130 a letter is composed already, and each engine knows the same small letter for it.
+            if text.isalpha() and max(text) < "\u0130":
+                found = [t.id for t in self.merge(text.lower().encode().decode("latin-1").translate(self.letters))]
+            else:
+                found = self.encode(text, add_special_tokens=False).ids
+        return np.array(found, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
+        packed = self.ids(word)
         if len(self) >= self.most:
             self.clear()
-        ids = self.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = packed = np.array(ids, "<u4").tobytes()
+        self[word] = packed
         return packed
 
     def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode().split()))
+        raw = (text or "").encode()
+        # A special token's string counts as such in small letters only, so case stays where there may be one.
+        return b"".join(map(self.__getitem__, (raw if b"<|" in raw else raw.lower()).split()))
 
 
 @functools.lru_cache(maxsize=2)

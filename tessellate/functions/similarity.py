@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessellate.functions.text import camel_words, case_tokens, grams
 
@@ -30,7 +31,7 @@ def camel_gram_jaccard(a: Column, b: Column) -> Column:
     return gram_jaccard(camel_words(a), camel_words(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The ratio of matching blocks of two strings in lower case (not symmetric); equal second strings are indexed once."""
     for a, b in batches:

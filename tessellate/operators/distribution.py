@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessellate.functions.similarity import cosine, inverse_distance, unit
 from tessellate.operators.confirm import STATUSES
@@ -63,7 +64,7 @@ def gaussian_distances(m1: np.ndarray, s1: np.ndarray, m2: np.ndarray, s2: np.nd
     return float(np.sqrt(square)), float(far), float(np.exp(-far))
 
 
-@F.pandas_udf("struct<mahalanobis:double,bhattacharyya:double,bc:double>")
+@F.pandas_udf(StructType([StructField(x, DoubleType()) for x in ("mahalanobis", "bhattacharyya", "bc")]))
 def _distances(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     for m1, s1, m2, s2 in batches:
         rows = [gaussian_distances(np.asarray(a), np.stack(b), np.asarray(c), np.stack(d)) for a, b, c, d in zip(m1, s1, m2, s2)]

@@ -170,12 +170,11 @@ def run_cascade(
     return Cascade(matches, subsumption_groups(groups), left, wide.select(*SIDES, "total", *[v.alias(k) for k, v in sums.items()]))
 
 
-def latest_residual(residual: DataFrame, keys: list[str] = SIDES) -> DataFrame:
-    """The residual of each pair's last stage that has one."""
+def latest_residual(residual: DataFrame, ran: DataFrame, keys: list[str] = SIDES) -> DataFrame:
+    """The residual of the last stage that ran for each pair (``ran``: keys, stage); it may be empty."""
     rank = F.create_map(*[F.lit(x) for i, s in enumerate(STAGES) for x in (s, i)])
-    ranked = residual.withColumn("_r", F.element_at(rank, F.col("stage")))
-    last = ranked.groupBy(*keys).agg(F.max("_r").alias("_r"))
-    return ranked.join(last, [*keys, "_r"]).drop("_r")
+    last = ran.groupBy(*keys).agg(F.max_by("stage", F.element_at(rank, F.col("stage"))).alias("stage"))
+    return residual.join(last, [*keys, "stage"], "left_semi")
 
 
 def stage_edges(cascade: Cascade, structural: DataFrame | None = None) -> DataFrame:

@@ -24,6 +24,7 @@ PER_LANGUAGE = 2_000
 SWITCH = 8.0
 FLOOR = -4.0
 LEAST_SHARE = 0.01
+MOST_LANGUAGES = 1_000
 WORDS_HELD = 200_000
 
 #: The Unicode ranges of scripts, as (script, first, last).
@@ -218,8 +219,12 @@ def fit(df: DataFrame, text_col: str, lang_col: str, id_col: str, per_language:
     labelled = df.filter(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("_u")
     )
-    sizes = labelled.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("_lang", "_of")
-    picked = labelled.join(sizes, F.col("_lang") == F.col("_of")).filter(F.col("_u") * F.col("_n") < per_language * (1 << 30))
+    sizes = labelled.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rates = df.sparkSession.createDataFrame([(r[0], r[1]) for r in sizes], "_of string, _n long")
+    # MOST_LANGUAGES rows at most; a join that shuffles would send all texts of a language to one task.
+    picked = labelled.join(F.broadcast(rates), F.col("_lang") == F.col("_of")).filter(F.col("_u") * F.col("_n") < per_language * (1 << 30))
     counted = arrow_map(picked, ["_lang", "_text"], "lang string, bucket int, n long", count_rows)
     sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     return Model([tuple(r) for r in sums.collect()])

@@ -7,7 +7,7 @@ holds a third of all rows so reaches the last step as one row per salt at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellate.llm._common import ascii_lower, shuffle_partitions, table
@@ -68,15 +68,14 @@ def exact_dedup(
 
 def keep_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that ``exact_dedup`` keeps, with all their columns; one of those that repeat an id and a text."""
-    verdicts = exact_dedup(df, id_col, text_col).filter("kept").select(
-        F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_of")
-    )
-    rows = df.withColumn("_digest", F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of"))
-    first = Window.partitionBy(id_col, "_digest").orderBy(*[F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)], text_col)
-    return (
-        rows.join(verdicts, same, "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_digest")
-    )
+    # One key that is never null, so that the join and the window share one exchange of the texts.
+    def key(digest: Column) -> Column:
+        return F.concat(digest, F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary"))
+
+    verdicts = exact_dedup(df, id_col, text_col).filter("kept").select(key(F.unhex("text_sha256")).alias("_key"))
+    rows = df.withColumn("_key", key(F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256))))
+    first = Window.partitionBy("_key").orderBy(*[F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)], text_col)
+    return rows.join(verdicts, "_key", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op2_exact_dedup(spark, sf_dir):

@@ -44,9 +44,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared checkpoint folder and cuts its lineage."""
+    """Materialises ``df`` in the shared checkpoint folder and cuts its lineage.
+
+    At most four files for each core are written, however many partitions there are: a task takes several in turn.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -29,7 +29,8 @@ BITS = 64
 SHINGLES_AT_ONCE = 1 << 16
 BLOCK = 2048
 LEAVES = 64
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 17
+ROWS_AT_ONCE = 20_000
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -151,11 +152,13 @@ def _unsigned(values: pa.Array) -> np.ndarray:
 
 
 def _cut_blocks(prefix_bits: int):
-    """Rows (rot, key, id) in order -> with the block that each is in: one node's leaves, or BLOCK of them in a row."""
-    from pyspark import TaskContext
+    """Rows (rot, key, id) in order -> with the block that each is in: one node's leaves, or BLOCK of them in a row.
+
+    A block is named by the key of its first leaf, of which there is one in each rotation.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, node = TaskContext.get().partitionId() << 40, 0, None
+        first, held, node = np.uint64(0), 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -163,17 +166,18 @@ def _cut_blocks(prefix_bits: int):
             key = _unsigned(batch.column(1)) ^ np.uint64(1 << 63)
             nodes = rot.astype(np.int64) << 32 | (key >> np.uint64(BITS - prefix_bits)).astype(np.int64)
             starts = np.concatenate([[0], np.flatnonzero(np.diff(nodes)) + 1, [len(nodes)]])
-            number = np.empty(len(nodes), np.int64)
+            block = np.empty(len(nodes), np.uint64)
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 if nodes[s] != node:
-                    block, held, node = block + 1, 0, nodes[s]
-                within = (np.arange(e - s) + held) // BLOCK
-                number[s:e] = block + within
-                block, held = block + int(within[-1]), (held + e - s - 1) % BLOCK + 1
-                if held == BLOCK:
-                    block, held = block + 1, 0
+                    held, node = 0, nodes[s]
+                while s < e:
+                    if held in (0, BLOCK):
+                        first, held = key[s], 0
+                    n = min(e - s, BLOCK - held)
+                    block[s : s + n] = first
+                    s, held = s + n, held + n
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes), pa.array(number), pa.array(key.view(np.int64)), batch.column(2)],
+                [batch.column(0), pa.array(nodes), pa.array(block.view(np.int64)), pa.array(key.view(np.int64)), batch.column(2)],
                 ["rot", "node", "block", "key", "id"],
             )
 
@@ -181,38 +185,40 @@ def _cut_blocks(prefix_bits: int):
 
 
 def _linked(k: int, across: bool):
-    """Rows (rot, unit, side, key, id), a unit's in a row and in trie order -> stars of what is linked in each."""
+    """Rows (rot, a, b, side, key, id) -> stars of what is linked in each unit of work.
+
+    A unit is a pair of blocks a and b of one rotation, or one block beside itself. Its rows come in a row, in trie order.
+    """
+
+    def turns(rows: list[np.ndarray]) -> np.ndarray:
+        return np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0) | (np.diff(rows[2]) != 0)) + 1
 
-    def many(rot, unit, side, key, ids) -> Iterator[pa.RecordBatch]:
-        for r in np.unique(rot).tolist():
-            own = np.flatnonzero(rot == r)
-            at = np.concatenate([[0], np.flatnonzero(np.diff(unit[own])) + 1, [len(own)]])
+    def many(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for r in np.unique(rows[0]).tolist():
+            own = [x[rows[0] == r] for x in rows]
+            _, _, _, side, key, ids = own
+            at = np.concatenate([[0], turns(own), [len(key)]])
             s, e = at[:-1], at[1:]
             if across:
-                m = s + np.add.reduceat(side[own] == 0, s)
+                m = s + np.add.reduceat(side == 0, s)
                 pairs = np.stack([s, m, m, e, np.zeros_like(s)], 1)
                 pairs = pairs[(s < m) & (m < e)]
             else:
                 pairs = np.stack([s, e, s, e, np.zeros_like(s)], 1)[e - s > 1]
-            budget = budgets(k, r)
-            got = stars(len(own), joined_tries(key[own], pairs, min(ring(k)), budget), ids[own])
+            got = stars(len(key), joined_tries(key.view(np.uint64), pairs, min(ring(k)), budgets(k, r)), ids)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            new[3] = new[3].view(np.uint64)
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            if len(held[0]) < 20_000:
-                continue
-            last = np.flatnonzero(held[1] != held[1][-1])
-            end = int(last[-1]) + 1 if len(last) else 0
-            if end:
-                yield from many(*[x[:end] for x in held])
-                held = [x[end:] for x in held]
+            ends = turns(held) if len(held[0]) >= ROWS_AT_ONCE else ()
+            if len(ends):
+                yield from many([x[: ends[-1]] for x in held])
+                held = [x[ends[-1] :] for x in held]
         if held is not None and len(held[0]):
-            yield from many(*held)
+            yield from many(held)
 
     return run
 
@@ -232,7 +238,7 @@ def links(classes: DataFrame, k: int) -> DataFrame:
     blocks = cut(
         dealt.sortWithinPartitions("rot", "key").mapInArrow(_cut_blocks(prefix), "rot int, node long, block long, key long, id long")
     )
-    within = blocks.select("rot", F.col("block").alias("unit"), F.lit(0).alias("side"), "key", "id")
+    within = blocks.select("rot", F.col("block").alias("a"), F.col("block").alias("b"), F.lit(0).alias("side"), "key", "id")
     found = within.mapInArrow(_linked(k, across=False), "u long, v long")
 
     flip = F.lit(-(1 << 63))
@@ -247,15 +253,13 @@ def links(classes: DataFrame, k: int) -> DataFrame:
         spread = spread.bitwiseOR(F.shiftrightunsigned(spread, s))
     fixed = F.bit_count(F.col("loa").bitwiseXOR(F.col("lob")).bitwiseAND(F.bitwise_not(spread)))
     units = a.join(b, ["rot", "node"]).filter((F.col("blocka") < F.col("blockb")) & (fixed <= k))
-    sides = units.select("rot", F.inline(F.array(*[
-        F.struct(F.col(f"block{x}").alias("block"), F.lit(i).alias("side"), F.xxhash64("blocka", "blockb").alias("unit"))
-        for i, x in enumerate("ab")
-    ])))
+    unit = units.select("rot", F.col("blocka").alias("a"), F.col("blockb").alias("b"))
+    sides = unit.select("*", F.inline(F.array(*[F.struct(F.col(x).alias("block"), F.lit(i).alias("side")) for i, x in enumerate("ab")])))
     crossed = (
-        sides.join(blocks.select("block", "key", "id"), "block")
-        .select("rot", "unit", "side", "key", "id", F.col("key").bitwiseXOR(flip).alias("_order"))
-        .repartition("unit")
-        .sortWithinPartitions("unit", "side", "_order")
+        sides.join(blocks.select("rot", "block", "key", "id"), ["rot", "block"])
+        .select("rot", "a", "b", "side", "key", "id", F.col("key").bitwiseXOR(flip).alias("_order"))
+        .repartition("rot", "a", "b")
+        .sortWithinPartitions("rot", "a", "b", "side", "_order")
         .drop("_order")
     )
     return found.unionByName(crossed.mapInArrow(_linked(k, across=True), "u long, v long"))

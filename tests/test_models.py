@@ -211,3 +211,19 @@ def test_new_files_are_aligned_once(spark, tmp_path):
     for _ in range(2):
         watch_models(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/pairs")).count() == 1
+
+
+def test_message_comparison(spark, tmp_path):
+    from tessellate.plans.message_pipeline import compare_messages
+    from tessellate.sources.metamodel import class_parents, with_superproperties
+
+    other = json.loads(json.dumps(MESSAGE).replace('"Speed"', '"AirSpeed"').replace('"o1"', '"o9"'))
+    for name, m in (("a", MESSAGE), ("b", other)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(m))
+    (tmp_path / "truth.json").write_text(json.dumps([{"src_name": "Speed", "tgt_name": "AirSpeed"}, {"src_name": "Speed", "tgt_name": "Nothing"}]))
+    got = compare_messages(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json"), str(tmp_path / "truth.json"))
+    assert {(r.method, r.precision, r.recall, r.f1) for r in got.scores.collect()} == {(m, 1.0, 1.0, 1.0) for m in ("trigram", "camel_trigram", "links")}
+    assert got.missed.count() == 0
+    wider = with_superproperties(got.assertions.drop("side")).filter("predicate = 'realizes'")
+    assert wider.count() == 8
+    assert class_parents(spark).filter("class = 'ConceptualEntity'").count() == 2

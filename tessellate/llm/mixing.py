@@ -77,7 +77,10 @@ def calibrate(tokens: list[int], factors: list[float], rate: float) -> list[floa
 
 
 def _rake_frame(cells: DataFrame, targets: dict[str, dict], alpha: float, sweeps: int, rate: float) -> DataFrame:
-    """The same over a DataFrame of cells, for more of them than fit the driver: one cut a sweep."""
+    """The same over a DataFrame of cells, for more of them than fit the driver: one cut a step.
+
+    Each step joins the cells with their own sums, so plans would double from step to step if they weren't cut.
+    """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     frame = cells.withColumn("factor", F.lit(1.0))
     for dim in DIMS:
@@ -89,15 +92,16 @@ def _rake_frame(cells: DataFrame, targets: dict[str, dict], alpha: float, sweeps
         norm = share.agg(F.sum("_r")).first()[0] or 1.0
         share = share.select(F.col(dim).alias("_k"), (F.col("_r") / norm).alias(f"_share_{dim}"))
         frame = frame.join(share, F.col(dim).eqNullSafe(F.col("_k"))).drop("_k")
+    frame = cut(frame)
     for _ in range(sweeps):
         for dim in DIMS:
             now = frame.groupBy(F.col(dim).alias("_k")).agg(F.sum(F.col("factor") * F.col("tokens")).alias("_now"))
             frame = frame.join(now, F.col(dim).eqNullSafe(F.col("_k"))).withColumn(
                 "factor", F.when(F.col("_now") > 0, F.col("factor") * F.col(f"_share_{dim}") * total / F.col("_now")).otherwise(F.col("factor"))
             ).drop("_k", "_now")
-        frame = cut(frame)
+            frame = cut(frame)
     low, high = 0.0, (frame.agg(F.max(1 / F.nullif("factor", F.lit(0.0)))).first()[0] or 1.0)
-    for _ in range(60):
+    for _ in range(40):
         scale = (low + high) / 2
         got = frame.agg(F.sum(F.least(F.lit(1.0), F.lit(scale) * F.col("factor")) * F.col("tokens"))).first()[0] or 0.0
         low, high = (scale, high) if got < rate * total else (low, scale)

@@ -54,20 +54,19 @@ def host_verdicts(rates: DataFrame, limit: float) -> DataFrame:
     The prior has the mean m of the hosts' rates (weighted by documents) and, from their variance v beyond what
     sampling alone gives, the size s = m(1-m)/v - 1; hosts that don't differ give s its upper bound.
     """
-    total = rates.agg(
+    sums = rates.agg(
         F.sum("n").alias("n"),
         F.sum("failed").alias("failed"),
         F.count(F.lit(1)).alias("hosts"),
         F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("square"),
-    )
-    mean = F.col("failed") / F.col("n")
-    between = F.col("square") / F.col("n") - mean * mean
-    sampling = mean * (1 - mean) * F.col("hosts") / F.col("n")
-    variance = F.greatest(between - sampling, mean * (1 - mean) / 10_001, F.lit(1e-12))
-    size = F.greatest(mean * (1 - mean) / variance - 1, F.lit(1e-6))
-    prior = total.filter("n > 0").select(mean.alias("_mean"), size.alias("_size"))
-    rate = (F.col("failed") + F.col("_mean") * F.col("_size")) / (F.col("n") + F.col("_size"))
-    return rates.crossJoin(F.broadcast(prior)).select("host", rate.alias("host_rate"), (rate > limit).alias("host_bad"))
+    ).first()
+    mean = sums.failed / sums.n if sums.n else 0.0
+    sampling = mean * (1 - mean) * sums.hosts / sums.n if sums.n else 0.0
+    between = sums.square / sums.n - mean * mean if sums.n else 0.0
+    variance = max(between - sampling, mean * (1 - mean) / 10_001, 1e-12)
+    size = max(mean * (1 - mean) / variance - 1, 1e-6)
+    rate = (F.col("failed") + mean * size) / (F.col("n") + size)
+    return rates.select("host", rate.alias("host_rate"), (rate > limit).alias("host_bad"))
 
 
 def quality_rules(

@@ -49,6 +49,7 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self.most, self.letters = Tokenizer.from_file(path), most, _byte_letters()
         self.encode, self.merge = self.tokenizer.encode, self.tokenizer.model.tokenize
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def ids(self, word: bytes) -> bytes:
         if word.isalpha():
@@ -65,7 +66,7 @@ class WordIds(dict):
                 found = [t.id for t in self.merge(text.lower().encode().decode("latin-1").translate(self.letters))]
             else:
                 found = self.encode(text, add_special_tokens=False).ids
-        return np.array(found, "<u4").tobytes()
+        return b"".join([self.packed[i] for i in found])
 
     def __missing__(self, word: bytes) -> bytes:
         packed = self.ids(word)

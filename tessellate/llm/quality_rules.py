@@ -6,6 +6,7 @@ A host's failure rate is shrunk towards the rate of all hosts by a beta prior th
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,18 +19,23 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
-    """Words inside windows of ``width`` words that the text holds twice or more, the first time included."""
-    windows = list(zip(*[words[i:] for i in range(width)]))
-    seen: set = set()
-    twice = {w for w in windows if w in seen or seen.add(w)}
-    if not twice:
+    """Words inside windows of ``width`` words that the text holds twice or more, the first time included.
+
+    Windows are numbered exactly, by doubling: those of twice a length by the numbers of their halves. So a text takes
+    memory by its words alone, and not by their windows.
+    """
+    known: dict[bytes, int] = {}
+    number = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    if len(words) <= width or len(known) == len(words):
         return 0
-    covered, until = 0, 0
-    for i, w in enumerate(windows):
-        if w in twice:
-            covered += i + width - max(i, until)
-            until = i + width
-    return covered
+    size = 1
+    while size < width:
+        step = min(size, width - size)
+        pair = number[:-step] * (number.max() + 1) + number[step:]
+        number, size = np.unique(pair, return_inverse=True)[1], size + step
+    at = np.flatnonzero(np.bincount(number)[number] > 1)
+    ends = np.minimum(at + width, np.append(at[1:], len(words)))
+    return int((ends - at).sum())
 
 
 def counts(text: str | None) -> tuple[int, int, int, int, int]:

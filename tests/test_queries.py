@@ -30,3 +30,23 @@ def test_entry_module(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(registry.QUERIES) <= set(entry.queries())
+
+
+def _rows(table, columns):
+    return duckdb.sql(f"SELECT DISTINCT {columns} FROM '{DATA}/{table}.parquet'").fetchall()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_components_of_all_line_items(spark):
+    links = [(a * 2, b * 2 + 1) for a, b in _rows("lineitem", "l_suppkey, l_partkey")]
+    parent = {x: x for link in links for x in link}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    got = registry.QUERIES["component_labels_whole"](spark, DATA).collect()
+    assert {r.node: r.component for r in got} == {x: top(x) for x in parent} and len(got) == len(parent)

@@ -20,6 +20,7 @@ from tessellate.operators import assign, confirm, describe, distribution, evalua
 from tessellate.operators.cascade import dominant_stage, stage_counts, subsumption_groups
 from tessellate.operators.scorers import token_containment
 from tessellate.operators.structural import lin_similarity
+from tessellate.plans.lineage import cut
 from tessellate.sources.messages import parse_cardinality
 
 QUERIES: dict = {}
@@ -216,6 +217,20 @@ def signature_jaccard(spark, sf_dir):
     return set_similarity_join(a, b, "supp_a", "supp_b", "s_a", "s_b", 0.3).filter("supp_a < supp_b").withColumn("score", F.round("score", 6))
 
 
+@query(ORACLE["signature_jaccard"].replace(" WHERE l_quantity = 50", ""))
+def signature_jaccard_whole(spark, sf_dir):
+    """``signature_jaccard`` over every line item: equal sets are compared once, and their suppliers paired afterwards."""
+    line, part = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "part")
+    items = line.select("l_suppkey", "l_partkey").distinct().join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_name").distinct()
+    sets = items.groupBy("l_suppkey").agg(F.array_sort(F.collect_set("p_name")).alias("s"))
+    kinds = sets.groupBy("s").agg(F.min("l_suppkey").alias("kind"))
+    a, b = (kinds.select(F.col("kind").alias(f"kind_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
+    scored = cut(set_similarity_join(a, b, "kind_a", "kind_b", "s_a", "s_b", 0.3))
+    of_a, of_b = (sets.join(kinds, "s").select(F.col("l_suppkey").alias(f"supp_{x}"), F.col("kind").alias(f"kind_{x}")) for x in "ab")
+    # Most suppliers can have one set, so what its suppliers are paired with is dealt by supplier.
+    return scored.join(of_a, "kind_a").repartition("supp_a").join(of_b, "kind_b").filter("supp_a < supp_b").select("supp_a", "supp_b", F.round("score", 6).alias("score"))
+
+
 def _part_features(spark, sf_dir) -> DataFrame:
     """(name, side, types, words): what each part name comes with."""
     part = _t(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(

@@ -50,3 +50,13 @@ def test_components_of_all_line_items(spark):
         parent[max(top(a), top(b))] = min(top(a), top(b))
     got = registry.QUERIES["component_labels_whole"](spark, DATA).collect()
     assert {r.node: r.component for r in got} == {x: top(x) for x in parent} and len(got) == len(parent)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_signatures_of_all_line_items(spark):
+    name, sets = dict(_rows("part", "p_partkey, p_name")), {}
+    for supplier, part in _rows("lineitem", "l_suppkey, l_partkey"):
+        sets.setdefault(supplier, set()).add(name[part])
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b}
+    got = registry.QUERIES["signature_jaccard_whole"](spark, DATA).collect()
+    assert {(r.supp_a, r.supp_b): r.score for r in got} == {k: v for k, v in want.items() if v >= 0.3} and len(got) > 0

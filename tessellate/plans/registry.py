@@ -363,11 +363,16 @@ EDGES = """pr AS (SELECT DISTINCT l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst
 
 
 @query(f"WITH {EDGES} SELECT node, degree, round(ic, 6) AS ic FROM ic")
-def graph_degree_ic(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
+def graph_degree_ic(spark, sf_dir, quantity=50):
+    nodes, edges = _graph(spark, sf_dir, quantity)
     return graph.information_content(nodes, edges, ["g"]).select("node", F.col("degree").cast("long").alias("degree"), F.round("ic", 6).alias("ic"))
 
 
+@query(ORACLE["graph_degree_ic"].replace(" WHERE l_quantity = 50", ""))
+def graph_degree_ic_whole(spark, sf_dir):
+    return graph_degree_ic(spark, sf_dir, None)
+
+
 ANCHORS = "an AS (SELECT p_partkey * 2 + 1 AS near FROM part WHERE p_size = 1)"
 
 
@@ -375,21 +380,27 @@ ANCHORS = "an AS (SELECT p_partkey * 2 + 1 AS near FROM part WHERE p_size = 1)"
     WITH {EDGES}, {ANCHORS},
     h AS (SELECT src AS node, dst AS near, 1 AS dist FROM e UNION ALL SELECT x.src, y.dst, 2 FROM e x JOIN e y ON x.dst = y.src WHERE x.src <> y.dst)
     SELECT node, near, min(dist) AS dist FROM h JOIN an USING (near) WHERE node <> near GROUP BY ALL""")
-def two_hop_anchors(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
+def two_hop_anchors(spark, sf_dir, quantity=50):
+    nodes, edges = _graph(spark, sf_dir, quantity)
     anchors = _t(spark, sf_dir, "part").filter("p_size = 1").select((F.col("p_partkey") * 2 + 1).alias("near"))
     # The neighbourhood is symmetric, so it is grown from the anchors, of which there are fewer.
     start = nodes.join(anchors, F.col("node") == F.col("near"), "left_semi")
     return graph.within_hops(start, edges, ["g"]).select(F.col("near").alias("node"), F.col("node").alias("near"), "dist")
 
 
+@query(ORACLE["two_hop_anchors"].replace(" WHERE l_quantity = 50", ""))
+def two_hop_anchors_whole(spark, sf_dir):
+    """All edges; parts of size 1 are the query's set of anchors."""
+    return two_hop_anchors(spark, sf_dir, None)
+
+
 @query(f"""
     WITH {EDGES}, {ANCHORS},
     c AS (SELECT x.src AS u_a, an.near AS anchor, y.dst AS u_b FROM an JOIN e x ON x.dst = an.near JOIN e y ON y.src = an.near WHERE x.src < y.dst)
     SELECT u_a, u_b, anchor, round(2 * i.ic / (a.ic + b.ic) / 2, 6) AS score
     FROM c JOIN ic i ON i.node = anchor JOIN ic a ON a.node = u_a JOIN ic b ON b.node = u_b WHERE a.ic + b.ic > 0""")
-def lin_candidates(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
+def lin_candidates(spark, sf_dir, quantity=50):
+    nodes, edges = _graph(spark, sf_dir, quantity)
     ic = graph.information_content(nodes, edges, ["g"])
     anchors = _t(spark, sf_dir, "part").filter("p_size = 1").select((F.col("p_partkey") * 2 + 1).alias("anchor"))
     near = anchors.join(edges, F.col("anchor") == F.col("src")).select("anchor", F.col("dst").alias("u"))
@@ -400,6 +411,12 @@ def lin_candidates(spark, sf_dir):
     return rows.filter("ic_a + ic_b > 0").select("u_a", "u_b", "anchor", F.round(score, 6).alias("score"))
 
 
+@query(ORACLE["lin_candidates"].replace(" WHERE l_quantity = 50", ""))
+def lin_candidates_whole(spark, sf_dir):
+    """All edges; parts of size 1 are the query's set of anchors."""
+    return lin_candidates(spark, sf_dir, None)
+
+
 def _containment(spark, sf_dir) -> DataFrame:
     """(g, entity, parent, pos): regions contain nations, nations customers, customers orders."""
     r, n, c, o = (_t(spark, sf_dir, x) for x in ("region", "nation", "customer", "orders"))

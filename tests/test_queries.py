@@ -60,3 +60,19 @@ def test_signatures_of_all_line_items(spark):
     want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b}
     got = registry.QUERIES["signature_jaccard_whole"](spark, DATA).collect()
     assert {(r.supp_a, r.supp_b): r.score for r in got} == {k: v for k, v in want.items() if v >= 0.3} and len(got) > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_graphs_of_all_line_items(spark):
+    near = {}
+    for a, b in _rows("lineitem", "l_suppkey, l_partkey"):
+        near.setdefault(a * 2, set()).add(b * 2 + 1)
+        near.setdefault(b * 2 + 1, set()).add(a * 2)
+    got = registry.QUERIES["graph_degree_ic_whole"](spark, DATA).collect()
+    assert {r.node: r.degree for r in got} == {x: len(v) for x, v in near.items()}
+    anchors = {p * 2 + 1 for p, size in _rows("part", "p_partkey, p_size") if size == 1} & near.keys()
+    want = {(x, a, 1) for a in anchors for x in near[a]} | {(y, a, 2) for a in anchors for x in near[a] for y in near[x] if y != a}
+    got = registry.QUERIES["two_hop_anchors_whole"](spark, DATA).collect()
+    assert {(r.node, r.near, r.dist) for r in got} == want and len(got) == len(want) > 0
+    got = registry.QUERIES["lin_candidates_whole"](spark, DATA).collect()
+    assert {(r.u_a, r.u_b, r.anchor) for r in got} == {(x, y, a) for a in anchors for x in near[a] for y in near[a] if x < y}

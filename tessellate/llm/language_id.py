@@ -113,24 +113,29 @@ class Model:
         self.uses = share >= LEAST_SHARE
         self.common = self.langs[int(scripts.sum(axis=0).argmax())] if self.langs else None
 
+    def used_by(self, words: list[str]) -> np.ndarray:
+        """Whether each language uses the script of each word."""
+        return self.uses[[word_script(w) for w in words]]
+
     def scores(self, words: list[str]) -> np.ndarray:
         """Each language's score of each word, 0 for the best one and FLOOR at worst; zeros where none uses the script."""
         at, starts = buckets(words)
         found = np.add.reduceat(self.logs[at[: -len(words)]], starts, axis=0) + self.logs[at[-len(words) :]]
-        uses = self.uses[[word_script(w) for w in words]]
+        uses = self.used_by(words)
         found = np.where(uses, found, -np.inf)
         best = found.max(axis=1, keepdims=True)
         return np.where(np.isfinite(best), np.maximum(found - np.where(np.isfinite(best), best, 0), FLOOR), 0.0)
 
 
 class Words(dict):
-    """Rows of scores and numbers of letters by word, for at most WORDS_HELD words; the last row is for what has no letters."""
+    """Rows of scores, numbers of letters and whether any language uses the script, by word, for at most WORDS_HELD words; the last row is for what has no letters."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
         self.scores = np.zeros((WORDS_HELD + 1, len(model.langs)), np.float32)
         self.letters = np.zeros(WORDS_HELD + 1, np.int64)
+        self.known = np.zeros(WORDS_HELD + 1, bool)
         self.used = 0
 
     def learn(self, words: list[bytes]) -> None:
@@ -142,10 +147,11 @@ class Words(dict):
             rows = slice(self.used, self.used + len(new))
             self.scores[rows] = self.model.scores(list(new))
             self.letters[rows] = list(map(len, new))
+            self.known[rows] = self.model.used_by(list(new)).any(axis=1)
             self.used += len(new)
 
-    def rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, letters) of words, by parts that fit with all that is held."""
+    def rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, letters, known) of words, by parts that fit with all that is held."""
         parts = []
         for i in range(0, max(1, len(words)), WORDS_HELD // 2):
             own = words[i : i + WORDS_HELD // 2]
@@ -155,8 +161,8 @@ class Words(dict):
                 self.used, new = 0, set(own)
             self.learn(list(new))
             at = np.fromiter(map(self.__getitem__, own), np.int64, len(own))
-            parts.append((self.scores[at], self.letters[at]))
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            parts.append((self.scores[at], self.letters[at], self.known[at]))
+        return tuple(np.concatenate(p) for p in zip(*parts))
 
 
 def viterbi(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -192,11 +198,11 @@ def viterbi(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
 def label(text: str | None, words: Words) -> tuple[str, float, float, str]:
     """(lang_pred, score, lang_share, spans) of one whole text; spans as lang:start:end in code points."""
     text, model = text or "", words.model
-    scores, letters = words.rows(text.encode().lower().split())
+    scores, letters, known = words.rows(text.encode().lower().split())
     total = int(letters.sum())
     if not total or not model.langs:
         return "und", 0.0, 0.0, ""
-    if not scores.any():
+    if not known.any():
         return model.common or "und", 0.0, 0.0, f"{model.common}:0:{len(text)}"
     path = viterbi(scores)
     by = np.bincount(path, letters, len(model.langs))

@@ -326,6 +326,15 @@ def test_languages_spans_and_odd_texts(spark, docs):
     assert (small.rows(mixed.encode().split())[0] == language_id.Words(model).rows(mixed.encode().split())[0]).all()
 
 
+def test_a_corpus_of_one_language_stays(spark):
+    rows = [(i, f"tholen marish thend {i}", "aa") for i in range(40)] + [(50, "日本語", None), (51, "12 ** 9", None)]
+    one = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language_id.keep_identified(one).collect()} == set(range(40))
+    got = {r.doc_id: r for r in language_id.learn_and_identify(one).collect()}
+    assert all(got[i].lang_pred == "aa" and got[i].lang_share == 1 and got[i].score > 0.5 for i in range(40))
+    assert got[50].score == got[50].lang_share == 0 and got[51].lang_pred == "und"
+
+
 # ---- packing
 
 

@@ -32,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by probabilities that bring source, language and topic to their target shares."""
-    return mixing.sample(docs)
+    """A sample that brings source, language and topic to their target shares; documents of lifted groups come more than once."""
+    return mixing.sample(docs, copies=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Tokens are summed by cell of source, language and topic. Raking multiplies the cells until each marginal has its target
 shares. A document's probability is its cell's multiplier times one scale, at most 1; the scale is the one by which the
-expected tokens come to ``rate`` of all (cells that reach 1 are held there, and the rest is scaled up for it).
+expected tokens come to ``rate`` of all (cells that reach 1 are held there, and the rest is scaled up for it). Where cells
+are held, the marginals under the probabilities miss their targets. With ``copies`` nothing is held: a document comes as often
+as its multiplier times the scale says, which may be over 1, and rate and targets hold together. ``shares`` shows both.
 
 A target share that isn't given is the observed one raised to ``alpha`` and normalised, which lifts small groups.
 """
@@ -105,7 +107,11 @@ def _rake_frame(cells: DataFrame, targets: dict[str, dict], alpha: float, sweeps
         scale = (low + high) / 2
         got = frame.agg(F.sum(F.least(F.lit(1.0), F.lit(scale) * F.col("factor")) * F.col("tokens"))).first()[0] or 0.0
         low, high = (scale, high) if got < rate * total else (low, scale)
-    return frame.select(*DIMS, "factor", F.least(F.lit(1.0), F.lit(high) * F.col("factor")).alias("p"))
+    open_ = frame.agg(F.sum(F.col("factor") * F.col("tokens"))).first()[0] or 0.0
+    return frame.select(
+        *DIMS, "factor", F.least(F.lit(1.0), F.lit(high) * F.col("factor")).alias("p"),
+        (F.lit(rate * total / open_ if open_ else 0.0) * F.col("factor")).alias("expected"), "tokens",
+    )
 
 
 def _labelled(df: DataFrame, text_col: str, topic: Column | None) -> DataFrame:
@@ -120,7 +126,7 @@ def _labelled(df: DataFrame, text_col: str, topic: Column | None) -> DataFrame:
 def _weights(
     cells: DataFrame, targets: dict[str, dict] | None, alpha: float, rate: float, sweeps: int, most_cells: int
 ) -> DataFrame:
-    """(source, lang, topic, factor, p) of cells (source, lang, topic, tokens)."""
+    """(source, lang, topic, factor, p, expected, tokens) of cells (source, lang, topic, tokens)."""
     targets = targets or {}
     held = cells.limit(most_cells + 1).collect()
     if len(held) > most_cells:
@@ -128,16 +134,22 @@ def _weights(
     held = sorted((tuple(r) for r in held), key=lambda c: tuple((x is not None, x) for x in c[:3]))
     factors = rake(held, targets, alpha, sweeps)
     ps = calibrate([c[-1] for c in held], factors, rate)
+    open_ = sum(c[-1] * f for c, f in zip(held, factors))
+    scale = rate * sum(c[-1] for c in held) / open_ if open_ else 0.0
     weights = cells.sparkSession.createDataFrame(
-        [(*c[:3], f, p) for c, f, p in zip(held, factors, ps)], "source string, lang string, topic string, factor double, p double"
+        [(*c[:3], f, p, scale * f, c[-1]) for c, f, p in zip(held, factors, ps)],
+        "source string, lang string, topic string, factor double, p double, expected double, tokens long",
     )
     return F.broadcast(weights)  # most_cells rows at most
 
 
 def _weighed(labelled: DataFrame, weights: DataFrame, id_col: str, seed: str) -> DataFrame:
-    weights = weights.select(*[F.col(d).alias(f"_of_{d}") for d in DIMS], F.col("factor").alias("_factor"), F.round("p", 6).alias("_p"))
+    weights = weights.select(*[F.col(d).alias(f"_of_{d}") for d in DIMS], F.col("factor").alias("_factor"), F.round("p", 6).alias("_p"), F.round("expected", 6).alias("_expected"))
     same = functools.reduce(lambda a, b: a & b, [F.col(f"_{d}").eqNullSafe(F.col(f"_of_{d}")) for d in DIMS])
-    return labelled.join(weights, same).withColumn("_sampled", uniform(id_col, seed) < F.col("_p"))
+    u, whole = uniform(id_col, seed), F.floor("_expected")
+    return labelled.join(weights, same).withColumns({
+        "_sampled": u < F.col("_p"), "_copies": (whole + F.when(u < F.col("_expected") - whole, 1).otherwise(0)).cast("int"),
+    })
 
 
 def _tokens(text_col: str) -> Column:
@@ -147,8 +159,10 @@ def _tokens(text_col: str) -> Column:
 def mix(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict] | None = None, alpha: float = ALPHA,
     rate: float = RATE, sweeps: int = SWEEPS, seed: str = "mix", topic: Column | None = None, most_cells: int = CELLS,
+    copies: bool = False,
 ) -> DataFrame:
-    """One row per row of ``df``: id, source, lang, topic, n_tokens, weight (multiplier), p, sampled.
+    """One row per row of ``df``: id, source, lang, topic, n_tokens, weight (multiplier), p, sampled; with ``copies`` expected and copies in
+    place of the last two.
 
     Tokens are runs without ASCII white space. Cells go to the driver while there are ``most_cells`` of them or fewer; more
     are raked as a DataFrame, to the same weights.
@@ -166,26 +180,51 @@ def mix(
     weights = _weights(cells, targets, alpha, rate, sweeps, most_cells)
     return _weighed(rows, weights, "_id", seed).select(
         F.col("_id").alias(id_col), *[F.col(f"_{d}").alias(d) for d in DIMS], F.col("_n").alias("n_tokens"),
-        F.round("_factor", 6).alias("weight"), F.col("_p").alias("p"), F.col("_sampled").alias("sampled"),
+        F.round("_factor", 6).alias("weight"),
+        *([F.col("_expected").alias("expected"), F.col("_copies").alias("copies")] if copies else [F.col("_p").alias("p"), F.col("_sampled").alias("sampled")]),
     )
 
 
 def sample(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict] | None = None, alpha: float = ALPHA,
     rate: float = RATE, sweeps: int = SWEEPS, seed: str = "mix", topic: Column | None = None, most_cells: int = CELLS,
+    copies: bool = False,
 ) -> DataFrame:
-    """The rows of ``df`` that ``mix`` samples, with all their columns."""
+    """The rows of ``df`` that ``mix`` samples, with all their columns; with ``copies`` each one as often as ``mix`` says."""
     labelled = _labelled(df, text_col, topic)
     cells = labelled.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum(_tokens(text_col)).alias("tokens"))
     weights = _weights(cells, targets, alpha, rate, sweeps, most_cells)
-    return _weighed(labelled, weights, id_col, seed).filter("_sampled").select(*[F.col(f"`{c}`") for c in df.columns])
+    rows, names = _weighed(labelled, weights, id_col, seed), [F.col(f"`{c}`") for c in df.columns]
+    if copies:
+        return rows.filter("_copies > 0").select(*names, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).drop("_copy")
+    return rows.filter("_sampled").select(*names)
+
+
+def shares(
+    df: DataFrame, text_col: str = "text", targets: dict[str, dict] | None = None, alpha: float = ALPHA, rate: float = RATE,
+    sweeps: int = SWEEPS, topic: Column | None = None, most_cells: int = CELLS,
+) -> DataFrame:
+    """(dim, value, observed, raked, under_p, under_copies): each group's share of the tokens, by multiplier, and as expected of samples."""
+    cells = _labelled(df, text_col, topic).groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum(_tokens(text_col)).alias("tokens"))
+    by = {"observed": F.lit(1.0), "raked": F.col("factor"), "under_p": F.col("p"), "under_copies": F.col("expected")}
+    each = _weights(cells, targets, alpha, rate, sweeps, most_cells).select(
+        F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in DIMS])).alias("of"),
+        *[(c * F.col("tokens")).alias(n) for n, c in by.items()],
+    )
+    sums = each.groupBy("of.dim", "of.value").agg(*[F.sum(n).alias(n) for n in by])
+    totals = sums.groupBy("dim").agg(*[F.nullif(F.sum(n), F.lit(0.0)).alias(f"_{n}") for n in by])
+    return sums.join(totals, "dim").select("dim", "value", *[(F.col(n) / F.col(f"_{n}")).alias(n) for n in by])
 
 
 def op1_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing}
+def op1_mixing_copies(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"), copies=True)
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op1_mixing_copies": op1_mixing_copies}
 
 
 def oracle_sql(rows: str = "documents") -> str:

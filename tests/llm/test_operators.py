@@ -173,6 +173,29 @@ def test_given_targets(docs):
     assert sum(r.n_tokens * r.weight for r in rows if r.topic == "note") / total > 0.4
 
 
+def test_expected_copies_meet_rate_and_marginals(docs):
+    rows, shown = mixing.mix(docs, copies=True).collect(), mixing.shares(docs).collect()
+    total = sum(r.n_tokens for r in rows)
+    assert sum(r.n_tokens * r.expected for r in rows) == pytest.approx(mixing.RATE * total, rel=1e-4) and max(r.expected for r in rows) > 1
+    for dim in mixing.DIMS:
+        seen, got = Counter(), Counter()
+        for r in rows:
+            seen[r[dim]] += r.n_tokens
+            got[r[dim]] += r.n_tokens * r.expected
+        norm = sum((v / total) ** mixing.ALPHA for v in seen.values())
+        raked = {r.value: r.raked for r in shown if r.dim == dim}
+        assert raked == pytest.approx({k: v / mixing.RATE / total for k, v in got.items()}, abs=1e-4)
+        if dim == "topic":  # the one fitted last is met exactly, the others as far as the sweeps come on these few rows
+            assert raked == pytest.approx({k: (v / total) ** mixing.ALPHA / norm for k, v in seen.items()}, abs=1e-4)
+            assert any(abs(r.under_p - r.raked) > 0.01 for r in shown if r.dim == dim)
+        under = {r.value: r.under_copies for r in shown if r.dim == dim}
+        assert all(under[k] == pytest.approx(v / mixing.RATE / total, abs=1e-4) for k, v in got.items())
+    kept = Counter((r.doc_id, r.text) for r in mixing.sample(docs, copies=True).collect())
+    assert sum(kept.values()) == sum(r.copies for r in rows) and all(abs(r.copies - r.expected) < 1 for r in rows)
+    few, many = ({(r.doc_id, r.n_tokens): r.expected for r in mixing.mix(docs, copies=True, sweeps=1, most_cells=n).collect()} for n in (mixing.CELLS, 1))
+    assert few == pytest.approx(many, abs=2e-5)
+
+
 # ---- quality rules
 
 

@@ -121,7 +121,7 @@ def safe_local_names(spark, sf_dir):
     FROM n""")
 def camel_phrase(spark, sf_dir):
     first = F.upper(F.left("p_name", F.lit(1)))
-    names = _t(spark, sf_dir, "part").select(F.concat(first, F.substring("p_name", 2, 1000), "p_type", F.lit("Unit")).alias("name")).distinct()
+    names = _t(spark, sf_dir, "part").select(F.concat(first, F.expr("substring(p_name, 2)"), "p_type", F.lit("Unit")).alias("name")).distinct()
     return names.select("name", phrase("name").alias("phrase"), camel_words("name").alias("camel"), about("name", "This is about {}.").alias("sentence"))
 
 

@@ -76,3 +76,8 @@ def test_graphs_of_all_line_items(spark):
     assert {(r.node, r.near, r.dist) for r in got} == want and len(got) == len(want) > 0
     got = registry.QUERIES["lin_candidates_whole"](spark, DATA).collect()
     assert {(r.u_a, r.u_b, r.anchor) for r in got} == {(x, y, a) for a in anchors for x in near[a] for y in near[a] if x < y}
+
+
+def test_camel_phrase_keeps_long_names(spark, tmp_path):
+    spark.createDataFrame([("a" * 1500, "T")], "p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    assert registry.QUERIES["camel_phrase"](spark, str(tmp_path)).first().name == "A" + "a" * 1499 + "TUnit"

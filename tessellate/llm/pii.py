@@ -234,10 +234,12 @@ def _described(c: Column) -> Column:
 def detect(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, base, candidates, examples): a text's base spans (kind, start, end), its candidates (also right, which is null, and x,
     the features), and a right and a wrong example of each base span, chosen by a hash of it (the same; no start and end)."""
-    text, digits = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col("_text").rlike("[0-9]")
-    exact = [(k, False, p, F.col("_text").contains("@") if k == "email" else digits) for k, p in BASE.items()]
-    loose = [(k, True, p, F.col("_text").rlike(EMAIL_GUARD) if k == "email" else digits) for k, p in LOOSE]
-    rows = _found(df.select(F.col(id_col).alias("_id"), text.alias("_text")), exact + loose)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.select(F.col(id_col).alias("_id"), text.alias("_text"))
+    # Columns of their own, so that a guard is looked for once and not once a pattern.
+    rows = rows.withColumns({"_at": F.col("_text").contains("@"), "_loose_at": F.col("_text").rlike(EMAIL_GUARD), "_digit": F.col("_text").rlike("[0-9]")})
+    exact = [(k, False, p, F.col("_at" if k == "email" else "_digit")) for k, p in BASE.items()]
+    rows = _found(rows, exact + [(k, True, p, F.col("_loose_at" if k == "email" else "_digit")) for k, p in LOOSE])
     rows = rows.select("_id", F.filter("spans", lambda s: ~s.loose & _valid(s)).alias("base"), F.filter("spans", lambda s: s.loose).alias("loose"))
     pick = lambda s: F.crc32(F.concat(s.value, s.start.cast("string")).cast("binary"))
     made = F.flatten(F.transform("base", lambda s: F.transform(F.array(F.lit(False), F.lit(True)), lambda w: _example(s, pick(s), w))))

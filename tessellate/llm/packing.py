@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import zlib
 from collections import Counter
 
@@ -35,9 +36,32 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)}
 
 
+#: What a tokenizer's file says where it composes letters, then lower-cases them, drops white space and takes letters,
+#: single digits and other marks apart.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+}
+
+
+def splits_at_words(config: dict) -> bool:
+    """Whether a tokenizer works word by word as BY_WORD says, and its special strings hold ``<|`` and no white space."""
+    special = [t["content"] for t in config["added_tokens"]]
+    return all(config.get(k) == v for k, v in BY_WORD.items()) and config["model"]["type"] == "BPE" and not config["model"].get("dropout") and all(
+        "<|" in x and len(x.split()) == 1 and not t["normalized"] for x, t in zip(special, config["added_tokens"])
+    )
+
+
 class WordIds(dict):
-    """The ids of a word, packed as little-endian 32 bits, for tokenizers that ignore case, drop white space and take
-    letters, single digits and other marks apart. Holds at most ``most`` words.
+    """The ids of a word, packed as little-endian 32 bits, for tokenizers as BY_WORD. Holds at most ``most`` words.
+
+    Texts of any other tokenizer are encoded whole.
 
     Words are found by ASCII white space, at which such a tokenizer always splits. Letters, and the marks that follow
     them, are looked up apart; Latin letters alone go straight to the tokenizer's model, all else through the whole tokenizer.
@@ -47,9 +71,11 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        with open(path, encoding="utf-8") as file:
+            self.by_word = splits_at_words(json.load(file))
         self.tokenizer, self.most, self.letters = Tokenizer.from_file(path), most, _byte_letters()
         self.encode, self.merge = self.tokenizer.encode, self.tokenizer.model.tokenize
-        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size() if self.by_word else 0)]
 
     def ids(self, word: bytes) -> bytes:
         if word.isalpha():
@@ -76,9 +102,12 @@ class WordIds(dict):
         return packed
 
     def of(self, text: str | None) -> bytes:
+        if not self.by_word:
+            return np.array(self.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
         raw = (text or "").encode()
-        # A special token's string counts as such in small letters only, so case stays where there may be one.
-        return b"".join(map(self.__getitem__, (raw if b"<|" in raw else raw.lower()).split()))
+        # Case stays where there may be a special token's string, which counts as such in small letters only, or a mark that composes
+        # with a letter (U+0300 to U+036F begin with these two bytes): letters are composed first, and only then made small.
+        return b"".join(map(self.__getitem__, (raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()))
 
 
 @functools.lru_cache(maxsize=2)
@@ -249,7 +278,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    - null and empty texts: one piece that holds the end id alone.
+    - null and empty texts: one piece that holds the end id alone. Very long texts: encoded whole.
     - texts over ``capacity`` ids: cut into pieces of that length, the last one shorter; others are never cut.
     - repeated rows and ties: each row is packed; which of equally long pieces goes where is arbitrary but stable.
     - null ids: packed as any other. Empty table: no rows. Further columns are neither read nor returned.

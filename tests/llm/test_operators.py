@@ -5,6 +5,8 @@ import gzip
 import hashlib
 import random
 import re
+import string
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -439,6 +441,27 @@ def test_word_ids_equal_the_whole_tokenizer(seed):
         assert np.frombuffer(known.of(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
 
+def test_word_ids_of_composing_letters():
+    """Every pair of an ASCII letter and a character that it composes with, in words of either case and with a mark between."""
+    tok, known, rnd = Tokenizer.from_file(WORD_BPE), packing.word_ids(WORD_BPE), random.Random(3)
+    pairs_ = [a + c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))) for a in string.ascii_letters if not unicodedata.normalize("NFC", a + c).startswith(a)]
+    assert {c for _, c in pairs_} <= set(map(chr, range(0x300, 0x370))) and len(pairs_) > 200
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    composed = [chr(c) for c in range(0xC0, 0x250)] + [chr(c) for c in range(0x1E00, 0x1F00)] + ["\u212a", "\u212b"]
+    cases = [f"{x}{p}{y} Some" for p in pairs_ for x, y in (("", ""), ("Ab", "aD."))] + [p[0] + rnd.choice(marks) + p[1] for p in pairs_] + composed
+    cases += ["".join(rnd.choice([*marks, *"ABYTHWJabç É.'1", *composed]) for _ in range(9)) for _ in range(3000)]
+    for text in cases:
+        assert np.frombuffer(known.of(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, known = Tokenizer.from_file(path), packing.word_ids(path)
+    assert packing.word_ids(WORD_BPE).by_word and not known.by_word
+    for text in ("Some  Text, it's\n\nÉté 42", "", None):
+        assert np.frombuffer(known.of(text), "<u4").tolist() == tok.encode(text or "", add_special_tokens=False).ids
+
+
 # ---- personal data
 
 PATTERNS = {

@@ -22,12 +22,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellate.llm._common import arrow_map, cut, shuffle_partitions, table
+from tessellate.llm._common import arrow_map, cut, shuffle_partitions, table, whole_row
 from tessellate.llm.graph import components
 
 BITS = 64
 SHINGLES_AT_ONCE = 1 << 16
-BLOCK = 2048
+LEAST_BLOCK, BLOCK = 128, 2048
 LEAVES = 64
 PAIRS_AT_ONCE = 1 << 17
 ROWS_AT_ONCE = 20_000
@@ -151,8 +151,13 @@ def _unsigned(values: pa.Array) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).view(np.uint64)
 
 
-def _cut_blocks(prefix_bits: int):
-    """Rows (rot, key, id) in order -> with the block that each is in: one node's leaves, or BLOCK of them in a row.
+def block_size(n: int) -> int:
+    """Leaves of a block at n fingerprints: few of them while blocks are few anyway, so that units of work are small."""
+    return max(LEAST_BLOCK, min(BLOCK, n >> 12))
+
+
+def _cut_blocks(prefix_bits: int, size: int):
+    """Rows (rot, key, id) in order -> with the block that each is in: one node's leaves, or ``size`` of them in a row.
 
     A block is named by the key of its first leaf, of which there is one in each rotation.
     """
@@ -171,9 +176,9 @@ def _cut_blocks(prefix_bits: int):
                 if nodes[s] != node:
                     held, node = 0, nodes[s]
                 while s < e:
-                    if held in (0, BLOCK):
+                    if held in (0, size):
                         first, held = key[s], 0
-                    n = min(e - s, BLOCK - held)
+                    n = min(e - s, size - held)
                     block[s : s + n] = first
                     s, held = s + n, held + n
             yield pa.RecordBatch.from_arrays(
@@ -230,30 +235,48 @@ def _rotated(fp: Column, k: int) -> Column:
     return F.array(*[F.struct(F.lit(r).alias("rot"), t.bitwiseXOR(F.lit(-(1 << 63))).alias("key")) for r, t in enumerate(turned)])
 
 
+def block_pairs(blocks: DataFrame, k: int) -> DataFrame:
+    """(rot, a, b): pairs of blocks of one node (rows rot, node, block, key, id) that may hold linked leaves.
+
+    The bits above the first that vary within either block are the same for all pairs of their leaves. So a pair goes
+    where they differ in more than the budget at that depth, or at the end of any part above it.
+    """
+    flip = F.lit(-(1 << 63))
+    ends = blocks.groupBy("rot", "node", "block").agg(
+        F.min(F.col("key").bitwiseXOR(flip)).alias("lo"), F.max(F.col("key").bitwiseXOR(flip)).alias("hi")
+    )
+    ends = ends.select("rot", "node", "block", "lo", F.col("lo").bitwiseXOR(F.col("hi")).alias("span"))
+    a, b = (ends.select("rot", "node", *[F.col(c).alias(c + x) for c in ("block", "lo", "span")]) for x in "ab")
+    spread, right = F.col("spana").bitwiseOR(F.col("spanb")), lambda x, n: F.call_function("shiftrightunsigned", x, n)
+    pairs = a.join(b, ["rot", "node"]).filter(F.col("blocka") < F.col("blockb")).select(
+        "rot", F.col("blocka").alias("a"), F.col("blockb").alias("b"), F.col("loa").bitwiseXOR(F.col("lob")).alias("differ"),
+        (BITS - F.when(spread == 0, 0).otherwise(F.length(F.bin(spread)))).alias("depth"),
+    )
+    # The ends of the parts of each rotation, and how many bits may differ up to there.
+    ends_of = ", ".join(
+        "array(" + ", ".join(f"named_struct('at', {d}, 'most', {j})" for j, d in enumerate(np.cumsum((ring(k) * 2)[r : r + k + 1]).tolist())) + ")"
+        for r in range(k + 1)
+    )
+    bounds = F.get(F.expr(f"array({ends_of})"), F.col("rot"))
+    budget = F.size(F.filter(bounds, lambda x: x["at"] < F.col("depth")))
+    within = F.bit_count(right(F.col("differ"), BITS - F.col("depth"))) <= budget
+    parts = F.forall(bounds, lambda x: (F.col("depth") < x["at"]) | (F.bit_count(right(F.col("differ"), BITS - x["at"])) <= x["most"]))
+    return pairs.filter(within & parts).select("rot", "a", "b")
+
+
 def links(classes: DataFrame, k: int) -> DataFrame:
     """(u, v): ids whose fingerprints (columns id, fp; each fp once) differ in k bits or fewer, as spanning stars."""
     prefix = min(ring(k))
     leaves = classes.select("id", F.inline(_rotated(F.col("fp"), k)))
     dealt = leaves.select("rot", "key", "id").repartitionByRange(max(8, shuffle_partitions(classes.sparkSession)), "rot", "key")
     blocks = cut(
-        dealt.sortWithinPartitions("rot", "key").mapInArrow(_cut_blocks(prefix), "rot int, node long, block long, key long, id long")
+        dealt.sortWithinPartitions("rot", "key").mapInArrow(_cut_blocks(prefix, block_size(classes.count())), "rot int, node long, block long, key long, id long")
     )
     within = blocks.select("rot", F.col("block").alias("a"), F.col("block").alias("b"), F.lit(0).alias("side"), "key", "id")
     found = within.mapInArrow(_linked(k, across=False), "u long, v long")
 
     flip = F.lit(-(1 << 63))
-    ends = blocks.groupBy("rot", "node", "block").agg(
-        F.min(F.col("key").bitwiseXOR(flip)).alias("lo"), F.max(F.col("key").bitwiseXOR(flip)).alias("hi")
-    )
-    ends = ends.select("*", (F.col("lo").bitwiseXOR(F.col("hi"))).alias("span"))
-    a, b = (ends.select("rot", "node", *[F.col(c).alias(c + x) for c in ("block", "lo", "span")]) for x in "ab")
-    # The bits above the first that vary within either block are the same for all pairs of their leaves.
-    spread = F.col("spana").bitwiseOR(F.col("spanb"))
-    for s in (1, 2, 4, 8, 16, 32):
-        spread = spread.bitwiseOR(F.shiftrightunsigned(spread, s))
-    fixed = F.bit_count(F.col("loa").bitwiseXOR(F.col("lob")).bitwiseAND(F.bitwise_not(spread)))
-    units = a.join(b, ["rot", "node"]).filter((F.col("blocka") < F.col("blockb")) & (fixed <= k))
-    unit = units.select("rot", F.col("blocka").alias("a"), F.col("blockb").alias("b"))
+    unit = block_pairs(blocks, k)
     sides = unit.select("*", F.inline(F.array(*[F.struct(F.col(x).alias("block"), F.lit(i).alias("side")) for i, x in enumerate("ab")])))
     crossed = (
         sides.join(blocks.select("rot", "block", "key", "id"), ["rot", "block"])
@@ -269,7 +292,8 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``df``: id, fingerprint, component_id (the smallest id that links reach).
 
     - null or empty text, or one without words: fingerprint zero, linked like any other. Fewer words than ``width``:
-      the whole sequence is the one shingle.
+      the whole sequence is the one shingle. Very long texts: hashed whole, 65,536 shingles at a time.
+    - ties: a bit that half of the hashes set is 0.
     - equal fingerprints are one class, whose smallest id stands for it; copies are never paired with one another.
     - repeated rows, and rows of one id with different texts: each gets its row; one id is one document, so its
       fingerprints are in one component.
@@ -278,7 +302,10 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     prints = cut(fingerprints(df, id_col, text_col, width))
     classes = cut(prints.groupBy("fp").agg(F.min("id").alias("id")))
-    found = components(links(classes.filter("id IS NOT NULL"), k))
+    # An id of several fingerprints links their classes.
+    several = prints.groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select(F.col("id").alias("u"))
+    own = prints.join(several, prints.id == several.u).select("u", "fp").join(classes, "fp").select("u", F.col("id").alias("v"))
+    found = components(links(classes.filter("id IS NOT NULL"), k).unionByName(own))
     labelled = classes.join(found, classes.id == found.node, "left").select(
         F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id")
     )
@@ -288,10 +315,16 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, k: int = 4) -> DataFrame:
-    """The rows of ``df``, all columns kept, whose id is the smallest of its group; rows without an id stay."""
+    """The rows of ``df``, all columns kept, whose id is the smallest of its group; rows without an id stay.
+
+    - null and empty texts are one group, of which the smallest id stays. Very long texts: shuffled whole, once.
+    - repeated rows of an id that stays all stay; ties can't be, as ids order a group. Empty table: no rows.
+    - further columns of any type and name come back as they are.
+    """
     gone = simhash_groups(df, id_col, text_col, width, k).filter(F.col(id_col) != F.col("component_id"))
-    gone = gone.select(F.col(id_col).alias("_id")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    gone = gone.select(F.col(id_col).alias("_gone")).distinct()
+    rows = df.select(whole_row(df), F.col(id_col).alias("_id"))
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
 def op3_simhash(spark, sf_dir):

@@ -3,7 +3,8 @@
 A word's script narrows down its languages; each of those scores it by the character trigrams and whole words counted in
 labelled documents; and a Viterbi pass over the words, with a penalty for each switch, labels spans.
 
-Counts are taken over a sample of about ``per_language`` documents of each language, and hashed into 2^16 buckets.
+Counts are taken over a sample of about ``per_language`` documents of each language, and hashed into 2^16 buckets. A model
+takes a quarter of a MB a language, so it is the number of languages that bounds it, and not the corpus.
 """
 
 from __future__ import annotations
@@ -12,20 +13,21 @@ import functools
 import re
 import uuid
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellate.llm._common import arrow_filter, arrow_map, table
+from tessellate.llm._common import arrow_filter, arrow_map, cut, table
 
 BUCKETS = 1 << 16
 PER_LANGUAGE = 2_000
 SWITCH = 8.0
 FLOOR = -4.0
 LEAST_SHARE = 0.01
-MOST_LANGUAGES = 1_000
-WORDS_HELD = 200_000
+MOST_BROADCAST = 100_000
+WORDS_HELD, BYTES_HELD = 200_000, 64 << 20
 
 #: The Unicode ranges of scripts, as (script, first, last).
 SCRIPTS = (
@@ -101,14 +103,23 @@ def count_rows(rows: dict) -> dict:
 class Model:
     """Log probabilities of the buckets by language, and the languages that use each script."""
 
-    def __init__(self, counts: list[tuple[str, int, int]]):
-        self.langs = sorted({x[0] for x in counts})
-        at = {x: i for i, x in enumerate(self.langs)}
-        table_, scripts = np.zeros((BUCKETS, len(at))), np.zeros((len(NAMES), len(at)))
-        for lang, bucket, n in counts:
-            (table_ if bucket >= 0 else scripts)[bucket if bucket >= 0 else -1 - bucket, at[lang]] += n
-        used = max(1, int((table_.sum(axis=1) > 0).sum()))
-        self.logs = np.log((table_ + 0.1) / (table_.sum(axis=0) + 0.1 * used)).astype(np.float32)
+    def __init__(self, counts: Iterable[tuple[str, list[int], list[int]]]):
+        """counts: (language, buckets, how often each), a language at a time."""
+        made: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for lang, at, n in counts:
+            own, scripts = made.setdefault(lang, (np.zeros(BUCKETS, np.float32), np.zeros(len(NAMES))))
+            at, n = np.array(at, np.int64), np.array(n, np.float64)
+            np.add.at(own, at[at >= 0], n[at >= 0])
+            np.add.at(scripts, -1 - at[at < 0], n[at < 0])
+        self.langs = sorted(made)
+        seen, self.logs = np.zeros(BUCKETS, bool), np.empty((BUCKETS, len(made)), np.float32)
+        for own, _ in made.values():
+            seen |= own > 0
+        used = max(1, int(seen.sum()))
+        for i, x in enumerate(self.langs):
+            own = made[x][0].astype(np.float64)
+            self.logs[:, i] = np.log((own + 0.1) / (own.sum() + 0.1 * used))
+        scripts = np.stack([made[x][1] for x in self.langs], 1) if made else np.zeros((len(NAMES), 0))
         share = scripts / np.maximum(scripts.sum(axis=0), 1)
         self.uses = share >= LEAST_SHARE
         self.common = self.langs[int(scripts.sum(axis=0).argmax())] if self.langs else None
@@ -128,21 +139,25 @@ class Model:
 
 
 class Words(dict):
-    """Rows of scores, numbers of letters and whether any language uses the script, by word, for at most WORDS_HELD words; the last row is for what has no letters."""
+    """Rows of scores, numbers of letters and whether any language uses the script, by word; the last row is for what has no letters.
+
+    Holds at most WORDS_HELD words, or fewer where BYTES_HELD are full of their scores.
+    """
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.scores = np.zeros((WORDS_HELD + 1, len(model.langs)), np.float32)
-        self.letters = np.zeros(WORDS_HELD + 1, np.int64)
-        self.known = np.zeros(WORDS_HELD + 1, bool)
+        self.most = max(2, min(WORDS_HELD, BYTES_HELD // (4 * max(1, len(model.langs)))))
+        self.scores = np.zeros((self.most + 1, len(model.langs)), np.float32)
+        self.letters = np.zeros(self.most + 1, np.int64)
+        self.known = np.zeros(self.most + 1, bool)
         self.used = 0
 
     def learn(self, words: list[bytes]) -> None:
         new: dict[str, int] = {}
         for word in words:
             letters = letters_of(word.decode())
-            self[word] = new.setdefault(letters, self.used + len(new)) if letters else WORDS_HELD
+            self[word] = new.setdefault(letters, self.used + len(new)) if letters else self.most
         if new:
             rows = slice(self.used, self.used + len(new))
             self.scores[rows] = self.model.scores(list(new))
@@ -153,10 +168,10 @@ class Words(dict):
     def rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(scores, letters, known) of words, by parts that fit with all that is held."""
         parts = []
-        for i in range(0, max(1, len(words)), WORDS_HELD // 2):
-            own = words[i : i + WORDS_HELD // 2]
+        for i in range(0, max(1, len(words)), self.most // 2):
+            own = words[i : i + self.most // 2]
             new = {w for w in own if w not in self}
-            if len(self) + len(new) > WORDS_HELD:
+            if len(self) + len(new) > self.most:
                 self.clear()
                 self.used, new = 0, set(own)
             self.learn(list(new))
@@ -225,15 +240,15 @@ def fit(df: DataFrame, text_col: str, lang_col: str, id_col: str, per_language:
     labelled = df.filter(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("_u")
     )
-    sizes = labelled.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    rates = df.sparkSession.createDataFrame([(r[0], r[1]) for r in sizes], "_of string, _n long")
-    # MOST_LANGUAGES rows at most; a join that shuffles would send all texts of a language to one task.
-    picked = labelled.join(F.broadcast(rates), F.col("_lang") == F.col("_of")).filter(F.col("_u") * F.col("_n") < per_language * (1 << 30))
+    rates = cut(labelled.groupBy(F.col("_lang").alias("_of")).agg(F.count(F.lit(1)).alias("_n")))
+    # A join that shuffles would send all texts of a language to one task, so rates are broadcast while they are few.
+    few = rates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    picked = labelled.join(F.broadcast(rates) if few else rates, F.col("_lang") == F.col("_of")).filter(F.col("_u") * F.col("_n") < per_language * (1 << 30))
     counted = arrow_map(picked, ["_lang", "_text"], "lang string, bucket int, n long", count_rows)
     sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    return Model([tuple(r) for r in sums.collect()])
+    # A language at a time comes to the driver: BUCKETS counts at most.
+    each = sums.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n"))
+    return Model(tuple(r) for r in each.toLocalIterator())
 
 
 _HELD: dict[str, Words] = {}
@@ -257,6 +272,7 @@ def identify(
 
     - null and empty texts, or texts without letters: ``und``, 0, 0 and no spans.
     - letters in scripts that no learned language uses: the commonest learned language, with score 0.
+    - very long texts: labelled whole, as many words at a time as the cache holds.
     - null ids, repeated rows and ties: each row is labelled; of tied languages the first by name.
     - empty table: no rows. Further columns are neither read nor returned.
     """
@@ -288,7 +304,9 @@ def keep_identified(
 ) -> DataFrame:
     """The rows of ``df``, all columns kept, with a language that holds ``least_share`` of the letters or more.
 
-    ``und`` goes, and so do texts in scripts that no learned language uses.
+    - ``und`` goes (null and empty texts too), and so do texts in scripts that no learned language uses.
+    - very long texts, null ids, repeated rows and ties: as in ``identify``. Without any learned language, all rows go.
+    - empty table: no rows. Further columns of any type and name come back as they are.
     """
     out = held_out(id_col, 4, 2)
     model = fit(df.filter(~F.coalesce(out, F.lit(True))), text_col, lang_col, id_col)

@@ -52,6 +52,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one, ``_row``: what stands beside it can't clash with them. ``select("_row.*")`` brings them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -80,12 +85,12 @@ def arrow_map(
 
 def arrow_filter(df: DataFrame, column: str, keeps: Callable[[list], list[bool]], rows: int = 256) -> DataFrame:
     """The rows of ``df``, all columns kept, for which ``keeps`` says so of ``column``'s values."""
-    at = df.columns.index(column)
+    at, rows_of = df.columns.index(column), df.select(whole_row(df))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
-                yield part.filter(pa.array(keeps(part.column(at).to_pylist()), pa.bool_()))
+                yield part.filter(pa.array(keeps(part.column(0).field(at).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return rows_of.mapInArrow(run, rows_of.schema).select("_row.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellate.llm._common import ascii_lower, shuffle_partitions, table
+from tessellate.llm._common import ascii_lower, shuffle_partitions, table, whole_row
 
 
 def exact_dedup(
@@ -20,7 +20,7 @@ def exact_dedup(
 
     Texts are equal when identical after lower-casing A-Z. The largest id of a group stays.
 
-    - null text: the same as an empty one; all of these are one group.
+    - null text: the same as an empty one; all of these are one group. Very long texts: compared whole, each shuffled twice at most.
     - null id: smaller than any other; a group of null ids alone has keep_id null and keeps its rows.
     - repeated rows (same id and text): each counts in group_size, and each of the kept id says kept; take one
       of them where single rows are wanted (the pipeline stage does).
@@ -53,6 +53,7 @@ def exact_dedup(
         )
         .filter("_n > 1")
     )
+    # A hot digest gives a row for each of its copies here, without texts, and adaptive execution splits such a partition (spark.sql.adaptive.skewJoin).
     # Joined by the digest's bytes: the winners are dealt out anew for that, in a stage of their own, so that what
     # a hot digest gives on the other side is a plain shuffle that adaptive execution can split.
     rows = keyed.select("_id", F.unhex("_digest").alias("_bytes"))
@@ -67,15 +68,22 @@ def exact_dedup(
 
 
 def keep_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that ``exact_dedup`` keeps, with all their columns; one of those that repeat an id and a text."""
+    """The rows of ``df`` that ``exact_dedup`` keeps, with all their columns; one of those that repeat an id and a text.
+
+    - null and empty texts are one group, of which one row stays. Very long texts: shuffled whole, once beside the dedup itself.
+    - of rows that repeat an id and a text (but for case), the first by text and then by the other columns as JSON stays.
+    - null ids: as in ``exact_dedup``; of rows with a null id and one text, one stays. Empty table: no rows.
+    - further columns of any type and name, maps too, come back as they are.
+    """
     # One key that is never null, so that the join and the window share one exchange of the texts.
     def key(digest: Column) -> Column:
         return F.concat(digest, F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary"))
 
     verdicts = exact_dedup(df, id_col, text_col).filter("kept").select(key(F.unhex("text_sha256")).alias("_key"))
-    rows = df.withColumn("_key", key(F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256))))
-    first = Window.partitionBy("_key").orderBy(*[F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)], text_col)
-    return rows.join(verdicts, "_key", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(whole_row(df), key(F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256))).alias("_key"))
+    others = [F.col("_row").getField(c).alias(c) for c in df.columns if c not in (id_col, text_col)]
+    first = Window.partitionBy("_key").orderBy(F.col("_row").getField(text_col), *([F.to_json(F.struct(*others))] if others else []))
+    return rows.join(verdicts, "_key", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("_row.*")
 
 
 def op2_exact_dedup(spark, sf_dir):

@@ -16,7 +16,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellate.llm._common import WORD, cut, table
+from tessellate.llm._common import WORD, cut, table, whole_row
 
 DIMS = ("source", "lang", "topic")
 SWEEPS = 8
@@ -26,7 +26,7 @@ CELLS = 100_000
 
 
 def topic_of(text: Column) -> Column:
-    """A stand-in for a topic label where a table has none: what most of a text's form is."""
+    """A stand-in where a table has no topics: a text's form, by its length and the signs of tables, shouting and markup. Pass ``topic`` for real ones."""
     text = F.coalesce(text, F.lit(""))
     return (
         F.when(F.char_length(text) < 400, "note")
@@ -114,13 +114,16 @@ def _rake_frame(cells: DataFrame, targets: dict[str, dict], alpha: float, sweeps
     )
 
 
-def _labelled(df: DataFrame, text_col: str, topic: Column | None) -> DataFrame:
-    """``df`` with _source, _lang and _topic, by which it is raked."""
-    return df.withColumns({
-        "_source": F.col("source").cast("string"),
-        "_lang": F.col("lang").cast("string"),
-        "_topic": topic_of(F.col(text_col)) if topic is None else topic.cast("string"),
-    })
+def _labelled(df: DataFrame, text_col: str, topic: Column | None, *more: Column) -> DataFrame:
+    """(_source, _lang, _topic), by which ``df`` is raked, _n tokens, and what else is asked for."""
+    return df.select(
+        F.col("source").cast("string").alias("_source"), F.col("lang").cast("string").alias("_lang"),
+        (topic_of(F.col(text_col)) if topic is None else topic.cast("string")).alias("_topic"), _tokens(text_col).alias("_n"), *more,
+    )
+
+
+def _cells(labelled: DataFrame) -> DataFrame:
+    return labelled.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum("_n").alias("tokens"))
 
 
 def _weights(
@@ -167,17 +170,13 @@ def mix(
     Tokens are runs without ASCII white space. Cells go to the driver while there are ``most_cells`` of them or fewer; more
     are raked as a DataFrame, to the same weights.
 
-    - null text: no tokens. Null source, language or topic: a group like any other.
+    - null and empty texts: no tokens. Very long texts: counted whole. Null source, language or topic: a group like any other.
     - null ids and repeated rows: rows of one id are sampled alike. Ties play no part; the sample is a function of the id.
     - groups without tokens: their multiplier is what the other marginals give them. Empty table: no rows.
     - a table's own column ``topic``, and further columns, are neither read nor returned; pass ``topic`` to use one.
     """
-    rows = _labelled(df, text_col, topic).select(
-        F.col(id_col).alias("_id"), *[f"_{d}" for d in DIMS], _tokens(text_col).alias("_n")
-    )
-    rows = cut(rows)
-    cells = rows.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum("_n").alias("tokens"))
-    weights = _weights(cells, targets, alpha, rate, sweeps, most_cells)
+    rows = cut(_labelled(df, text_col, topic, F.col(id_col).alias("_id")))
+    weights = _weights(_cells(rows), targets, alpha, rate, sweeps, most_cells)
     return _weighed(rows, weights, "_id", seed).select(
         F.col("_id").alias(id_col), *[F.col(f"_{d}").alias(d) for d in DIMS], F.col("_n").alias("n_tokens"),
         F.round("_factor", 6).alias("weight"),
@@ -190,14 +189,17 @@ def sample(
     rate: float = RATE, sweeps: int = SWEEPS, seed: str = "mix", topic: Column | None = None, most_cells: int = CELLS,
     copies: bool = False,
 ) -> DataFrame:
-    """The rows of ``df`` that ``mix`` samples, with all their columns; with ``copies`` each one as often as ``mix`` says."""
-    labelled = _labelled(df, text_col, topic)
-    cells = labelled.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum(_tokens(text_col)).alias("tokens"))
-    weights = _weights(cells, targets, alpha, rate, sweeps, most_cells)
-    rows, names = _weighed(labelled, weights, id_col, seed), [F.col(f"`{c}`") for c in df.columns]
+    """The rows of ``df`` that ``mix`` samples, with all their columns; with ``copies`` each one as often as ``mix`` says.
+
+    - null and empty texts: sampled by their cell, as any other. Very long texts: counted whole, never shuffled.
+    - null ids, repeated rows and ties: as in ``mix``. Empty table: no rows.
+    - further columns of any type and name come back as they are.
+    """
+    weights = _weights(_cells(_labelled(df, text_col, topic)), targets, alpha, rate, sweeps, most_cells)
+    rows = _weighed(_labelled(df, text_col, topic, F.col(id_col).alias("_id"), whole_row(df)), weights, "_id", seed)
     if copies:
-        return rows.filter("_copies > 0").select(*names, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).drop("_copy")
-    return rows.filter("_sampled").select(*names)
+        return rows.filter("_copies > 0").select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).select("_row.*")
+    return rows.filter("_sampled").select("_row.*")
 
 
 def shares(
@@ -205,7 +207,7 @@ def shares(
     sweeps: int = SWEEPS, topic: Column | None = None, most_cells: int = CELLS,
 ) -> DataFrame:
     """(dim, value, observed, raked, under_p, under_copies): each group's share of the tokens, by multiplier, and as expected of samples."""
-    cells = _labelled(df, text_col, topic).groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum(_tokens(text_col)).alias("tokens"))
+    cells = _cells(_labelled(df, text_col, topic))
     by = {"observed": F.lit(1.0), "raked": F.col("factor"), "under_p": F.col("p"), "under_copies": F.col("expected")}
     each = _weights(cells, targets, alpha, rate, sweeps, most_cells).select(
         F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in DIMS])).alias("of"),

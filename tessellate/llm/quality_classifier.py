@@ -114,7 +114,9 @@ def train(
 ) -> np.ndarray:
     """Weights from the labelled rows, or from ``most_rows`` of them in the order of a hash of their id if there are more.
 
-    Rows with a null id, label or document are left out; without any rows all weights are zero, and each score is 0.5.
+    - rows with a null id or label, or without a document, are left out; without any rows all weights are zero, and each score is 0.5.
+    - null and empty texts: learned from as texts of no words. Very long texts: read whole, as their distinct buckets.
+    - repeated rows: each is learned from. Ties of the hash: by id, then label. Further columns aren't read.
     """
     picked = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -122,7 +124,8 @@ def train(
         .orderBy(F.xxhash64("_of"), "_of", "_y")
         .limit(most_rows)
     )
-    chosen = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_of"))  # most_rows rows of two numbers
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    chosen = texts.join(F.broadcast(picked), F.col("_id") == F.col("_of"))  # most_rows rows of two numbers
 
     def run(rows: dict) -> dict:
         found = [sparse(t) for t in rows["_text"]]
@@ -131,7 +134,7 @@ def train(
         }
 
     vectors = arrow_map(
-        chosen, [F.xxhash64("_of").alias("_u"), "_y", F.col(text_col).alias("_text")], "u long, y double, at array<int>, x array<float>", run
+        chosen, [F.xxhash64("_of").alias("_u"), "_y", "_text"], "u long, y double, at array<int>, x array<float>", run
     )
 
     def fit(batches):
@@ -157,7 +160,7 @@ def weights_of(key: str, broadcast) -> np.ndarray:
 def classify(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per row of ``df``: id, score (0 to 1), predicted (1 if the score is ``threshold`` or more, else 0).
 
-    - null texts: as empty ones, which score by the bias and their length alone.
+    - null texts: as empty ones, which score by the bias and their length alone. Very long texts: scored whole.
     - null ids, repeated rows and ties: each row is scored. Empty table: no rows. Further columns are neither read nor returned.
     """
     key, broadcast = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(weights)

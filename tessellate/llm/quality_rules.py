@@ -86,7 +86,7 @@ def quality_rules(
     character of words, or repeat over ``most_dup_lines`` of their lines. Kept is what passes the base on a host
     whose shrunk rate is ``host_limit`` or less.
 
-    - null text: empty, so it fails. Null host: a host like any other.
+    - null text: empty, so it fails. Very long texts: counted whole, in memory that goes by their words. Null host: a host like any other.
     - null ids, repeated rows and ties: each row is judged and counted. Empty table: no rows.
     - further columns are neither read nor returned.
     """

@@ -119,6 +119,7 @@ def write_warc(
 
     - null text: an empty payload. Null url: an empty one. Null id: a record without a number, which never is
       revisited where its payload has an id; among null ids alone, all are responses.
+    - very long texts: one record each, held whole by the task that writes it. Ties: equal payloads of one id are all responses.
     - repeated rows (same id): each gets a record; rows of the responding id are all responses.
     - empty table: no archives hold a record. Further columns are neither read nor written.
     """

@@ -3,9 +3,12 @@
 import base64
 import gzip
 import hashlib
+import math
+import os
 import random
 import re
 import string
+import struct
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -24,6 +27,7 @@ from tessellate.llm import (
 from tessellate.llm.graph import components
 
 WORDS = "the of and lumen taro vex quil sorb mint dray pelt".split()
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, fp string, kept boolean, topic string, component_id long"
 
@@ -45,6 +49,43 @@ def docs(spark):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """The same with a column for each name that the operators use within, and a map."""
+    source = "".join(p.read_text() for p in Path(exact_dedup.__file__).parent.glob("*.py"))
+    names = sorted(set(re.findall(r"""["'](_[a-z]+(?:_[a-z]+)*)["']""", source)) | {"_of_source", "_of_lang", "_of_topic", "row", "n", "u", "v", "a.b"})
+    assert {"_id", "_key", "_n", "_p", "_of", "_y", "_row", "_gone", "_topic", "_text"} <= set(names)
+    rows = [(i, t, ("en", "de", None)[i % 3], ("big", "small", None)[i % 3]) for i, t in enumerate(texts())] + [(None, "no id at all", "en", "big"), (3, "a text", "en", "big")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    more = [F.concat(F.lit(f"{n}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("x"))).alias(n) for n in names]
+    return df.select("*", *more, F.create_map(F.lit("k"), F.col("doc_id")).alias("a_map")).repartition(3)
+
+
+def whole(df):
+    return Counter(str(r) for r in df.collect())
+
+
+def test_stages_return_all_columns_as_they_are(clashing):
+    rows = whole(clashing)
+    stages = [
+        exact_dedup.keep_exact, simhash.keep_one, language_id.keep_identified, mixing.sample, lambda d: mixing.sample(d, copies=True),
+        lambda d: mixing.sample(d, topic=F.col("_topic")),
+    ]
+    for stage in stages:
+        out = stage(clashing)
+        assert out.columns == clashing.columns
+        got = whole(out)
+        assert got and set(got) <= set(rows)
+    labels = clashing.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    weights = quality_classifier.train(clashing, labels)
+    n = sum(rows.values())
+    others = [
+        quality_classifier.classify(clashing, weights), exact_dedup.exact_dedup(clashing), simhash.simhash_groups(clashing), mixing.mix(clashing),
+        quality_rules.quality_rules(clashing), language_id.learn_and_identify(clashing), pii.find_pii(clashing),
+    ]
+    assert all(x.count() == n for x in others) and packing.pack(clashing, WORD_BPE).count() >= n
+
+
 @pytest.fixture(scope="module")
 def none(spark):
     return spark.createDataFrame([], SCHEMA)
@@ -127,6 +168,39 @@ def test_simhash_groups(docs):
     assert len(set(label.values())) < len(label)
 
 
+def test_an_id_of_several_texts_links_them(spark):
+    a, b = " ".join(WORDS), " ".join(reversed(WORDS))
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (9, None), (8, "lone word"), (None, b)], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in simhash.simhash_groups(df).collect()}
+    assert got == {(3, 3), (5, 3), (9, 3), (8, 8), (None, 3)}
+
+
+@pytest.mark.parametrize("k", [2, 4, 7])
+def test_block_pairs_are_few_and_lose_nothing(spark, k):
+    """All pairs of blocks that hold linked leaves within the budgets stay; of the others, most go."""
+    rnd = random.Random(k)
+    prefix = min(simhash.ring(k))
+    low = 64 - prefix
+    keys = sorted({rnd.choice([0, 1, 5]) << low | rnd.getrandbits(10) << low - 10 | rnd.getrandbits(6) for _ in range(900)})
+    rows, blocks = [], {}
+    for rot in range(k + 1):
+        for node in sorted({x >> 64 - prefix for x in keys}):
+            own = [x for x in keys if x >> 64 - prefix == node]
+            for i in range(0, len(own), 4):
+                blocks[rot, own[i]] = own[i : i + 4]
+                rows += [(rot, node, int(np.uint64(own[i]).view(np.int64)), int(np.uint64(x).view(np.int64)), x % 1000) for x in own[i : i + 4]]
+    df = spark.createDataFrame(rows, "rot int, node long, block long, key long, id long")
+    got = {(r.rot, int(np.int64(r.a).view(np.uint64)), int(np.int64(r.b).view(np.uint64))) for r in simhash.block_pairs(df, k).collect()}
+    got = {(r, *sorted(x)) for r, *x in got}
+    every = {(r, a, b) for r, a in blocks for q, b in blocks if q == r and a < b and a >> 64 - prefix == b >> 64 - prefix}
+    need = set()
+    for r, a, b in every:
+        budget = simhash.budgets(k, r).tolist()
+        if any(all((x ^ y) >> 64 - d << 64 - d and ((x ^ y) >> 64 - d).bit_count() <= budget[d] or not (x ^ y) >> 64 - d for d in range(1, 65)) for x in blocks[r, a] for y in blocks[r, b]):
+            need.add((r, a, b))
+    assert need <= got <= every and (len(got) < 0.5 * len(every) or len(every) < 10)
+
+
 @pytest.mark.parametrize("k, block", [(4, 2048), (4, 8), (0, 8), (7, 16)])
 def test_trie_join_finds_every_link(spark, monkeypatch, k, block):
     rnd = random.Random(k)
@@ -134,7 +208,7 @@ def test_trie_join_finds_every_link(spark, monkeypatch, k, block):
     prints = {c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 9))) for c in centres for _ in range(20)} | {0, 2**64 - 1, 1 << 63}
     ids = {p: i for i, p in enumerate(sorted(prints))}
     df = spark.createDataFrame([(i, int(np.uint64(p).view(np.int64))) for p, i in ids.items()], "id long, fp long")
-    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "block_size", lambda n: block)
     got = [(r.u, r.v) for r in simhash.links(df, k).collect()]
     want = [(ids[p], ids[q]) for p in prints for q in prints if p < q and (p ^ q).bit_count() <= k]
     assert reach(ids.values(), got) == reach(ids.values(), want)
@@ -270,6 +344,59 @@ def test_classifier_learns_and_scores_everything(spark, docs):
     assert got[0].score == pytest.approx(direct, abs=1e-5)
 
 
+def slow_quality(rows, epochs=quality_classifier.EPOCHS):
+    """(scores of texts, by follow-the-regularised-leader over plain dictionaries) for rows (order, text, label or None)."""
+    m64 = (1 << 64) - 1
+
+    def mixed(x, salt):
+        x = (x + salt) * 0x9E3779B97F4A7C15 & m64
+        return ((x ^ x >> 29) * 0xBF58476D1CE4E5B9 & m64) >> 46
+
+    def values(t):
+        words = (t or "").encode().split()
+        h = [quality_classifier.word_hashes(w) for w in words]
+        a, b, m = [x for x, _ in h], [y for _, y in h], 0x100000001B3
+        pair = [(x * m + y) & m64 for x, y in zip(b, b[1:])]
+        streams = [
+            [mixed(len(words).bit_length(), 1)], [mixed(x, 2) for x in a], [mixed(x * m + y & m64, 3) for x, y in zip(a, a[1:])],
+            [mixed(int(x == y), 4) for x, y in zip(a, a[1:])], [mixed(x, 5) for x in b], [mixed(x, 6) for x in pair],
+            [mixed(x * m + y & m64, 7) for x, y in zip(pair, b[2:])],
+        ]
+        out = Counter()
+        for s in streams:
+            for x in s:
+                out[x] += quality_classifier.SCALE / len(s)
+        return out
+
+    q = quality_classifier
+    z, n = defaultdict(float), defaultdict(float)
+    w = lambda i: 0.0 if abs(z[i]) <= q.L1 else (math.copysign(q.L1, z[i]) - z[i]) / ((q.BETA + math.sqrt(n[i])) / q.ALPHA + q.L2)
+    seen = {t: values(t) for _, t, _ in rows}
+    for _ in range(epochs):
+        for _, t, y in sorted((r for r in rows if r[2] is not None), key=lambda r: r[0]):
+            x = {**{k: np.float32(v).item() for k, v in seen[t].items()}, "bias": 1.0}
+            own = {i: w(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(own[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / q.ALPHA * own[i]
+                n[i] += g * g
+    return [1 / (1 + math.exp(-max(-35, min(35, w("bias") + sum(w(i) * v for i, v in seen[t].items()))))) for _, t, _ in rows]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_quality_query_equals_a_slow_version(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    order = lambda i: np.uint64(xxhash.xxh64_intdigest(struct.pack("<q", i), 42)).view(np.int64).item()
+    rows = [(order(i), t, None if held(i) else labels.get(i)) for i, t in docs.items()]
+    want = dict(zip(docs, slow_quality(rows)))
+    got = {r.doc_id: r for r in quality_classifier.op6_quality_classifier(spark, DATA).collect()}
+    assert got.keys() == docs.keys()
+    assert all(got[i].held_out == held(i) and got[i].score == pytest.approx(want[i], abs=1e-3) and got[i].predicted == int(got[i].score >= 0.3) for i in got)
+
+
 # ---- WARC
 
 
@@ -360,6 +487,74 @@ def test_a_corpus_of_one_language_stays(spark):
     assert got[50].score == got[50].lang_share == 0 and got[51].lang_pred == "und"
 
 
+def slow_language(rows, learn):
+    """lang_pred and score of each text by plain dictionaries and a plain dynamic program, for latin letters alone."""
+    def grams_of(w):
+        m = 0xFFFFFFFF
+        x = [2, *map(ord, w), 3]
+        return [((a * 0x9E3779B1 & m) ^ (b * 0x85EBCA77 & m) ^ (c * 0xC2B2AE3D & m)) >> 16 for a, b, c in zip(x, x[1:], x[2:])] + [zlib.crc32(w.encode()) >> 16]
+
+    def words_of(t):
+        return [x for w in re.findall(r"[^\x20\x09-\x0D]+", t or "") if (x := "".join(filter(str.isalpha, w)).lower())]
+
+    counts = defaultdict(Counter)
+    for i, t, lang in rows:
+        if lang is not None and learn(i):
+            for w in words_of(t):
+                counts[lang].update(grams_of(w))
+    langs, used = sorted(counts), len(set().union(*counts.values()))
+    total = {x: sum(counts[x].values()) for x in langs}
+    logs = {x: defaultdict(lambda x=x: math.log(0.1 / (total[x] + 0.1 * used)), {b: math.log((n + 0.1) / (total[x] + 0.1 * used)) for b, n in counts[x].items()}) for x in langs}
+    known, out = {}, {}
+    for i, t, _ in rows:
+        words = words_of(t)
+        if not words:
+            out[i] = "und", 0.0
+            continue
+        for w in set(words) - known.keys():
+            raw = [sum(logs[x][b] for b in grams_of(w)) for x in langs]
+            known[w] = [max(v - max(raw), language_id.FLOOR) for v in raw]
+        value, came = [0.0] * len(langs), []
+        for w in words:
+            top = max(range(len(langs)), key=value.__getitem__)
+            came.append([j if v >= value[top] - language_id.SWITCH else top for j, v in enumerate(value)])
+            value = [max(v, value[top] - language_id.SWITCH) + s for v, s in zip(value, known[w])]
+        at, path = max(range(len(langs)), key=value.__getitem__), []
+        for step in reversed(came):
+            path.append(at)
+            at = step[at]
+        by = Counter()
+        for j, w in zip(reversed(path), words):
+            by[j] += len(w)
+        pred = max(sorted(by), key=by.__getitem__)
+        sums = [sum(known[w][j] for p, w in zip(reversed(path), words) if p == pred) for j in range(len(langs))]
+        margin = sums[pred] - max(v for j, v in enumerate(sums) if j != pred)
+        out[i] = langs[pred], by[pred] / sum(map(len, words)) * (1 - math.exp(-max(margin, 0.0) / -language_id.FLOOR))
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_language_query_equals_a_slow_version(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    learn = lambda i: zlib.crc32(str(i).encode()) % 4 != 2
+    want = slow_language(rows, learn)
+    got = {r.doc_id: r for r in language_id.op8_language_id(spark, DATA).collect()}
+    assert got.keys() == want.keys() and all(got[i].held_out != learn(i) for i in got)
+    assert all(got[i].lang_pred == want[i][0] and got[i].score == pytest.approx(want[i][1], abs=1e-3) for i in got)
+
+
+def test_many_languages_and_a_small_cache(spark, monkeypatch):
+    say = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{x}" for x in ("qor", "zel", "mun"))
+    rows = [(k * 2 + j, say(k), f"l{k:04d}") for k in range(300) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "BYTES_HELD", 4 * 300 * 20)
+    monkeypatch.setattr(language_id, "MOST_BROADCAST", 10)
+    model = language_id.fit(df, "text", "lang", "doc_id")
+    words = language_id.Words(model)
+    assert len(model.langs) == 300 and words.most == 20
+    assert all(language_id.label(t, words)[0] == lang for _, t, lang in rows)
+
+
 # ---- packing
 
 

@@ -3,9 +3,11 @@ r"""WARC archives: written one gzip member per record, and read back record by r
 Writing goes through Spark's text sink, so archives land in any store that Spark writes to, under its commit protocol.
 That sink ends each row with a separator; here it is the zero byte that a gzip member ends with anyway (the
 highest byte of its length modulo 2^32; a longer record is followed by an empty member, which ends so too). Part files so
-are plain concatenations of members, as ``.warc.gz`` files are. ``records_per_file`` bounds an archive's size.
+are plain concatenations of members, as ``.warc.gz`` files are. ``archive_bytes`` bounds an archive's size; one record over
+it has an archive of its own.
 
-The reader goes through an archive once. It inflates chunk by chunk, ends a record where its gzip member ends, frames the
+The reader goes through an archive once, from the store, chunk by chunk, where Python can open it; from other stores Spark hands it
+whole archives, which the bound keeps small. It inflates chunk by chunk, ends a record where its gzip member ends, frames the
 block by Content-Length, and compares both digests with what it read.
 """
 
@@ -13,18 +15,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import posixpath
+import urllib.parse
+import urllib.request
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellate.llm._common import arrow_map, checkpoint_dir, table
+from tessellate.llm._common import checkpoint_dir, table
 
 CHUNK = 1 << 16
+ARCHIVE_BYTES = 32 << 20
+STREAMED = ("file", "hdfs", "s3", "gs")
 EMPTY = zlib.compress(b"", 1, 31)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -62,23 +70,32 @@ class BadRecord(ValueError):
     """A record that isn't whole, or isn't what its digests say."""
 
 
-def members(archive: bytes) -> Iterator[bytearray]:
-    """The inflated gzip members of an archive, one at a time, inflated in steps of CHUNK bytes."""
-    view, at = memoryview(archive), 0
-    while at < len(view):
+def members(archive) -> Iterator[bytearray]:
+    """The inflated gzip members of an archive (bytes, or a file open for reading), one at a time, by steps of CHUNK bytes."""
+    file = archive if hasattr(archive, "read") else io.BytesIO(archive)
+    held = file.read(CHUNK)
+    while held:
         inflate, out = zlib.decompressobj(31), bytearray()
         while not inflate.eof:
-            if at >= len(view):
+            if not held:
                 raise BadRecord("the archive ends within a member")
             try:
-                out += inflate.decompress(view[at : at + CHUNK])
+                out += inflate.decompress(held)
             except zlib.error as e:
                 raise BadRecord(str(e)) from e
-            at += CHUNK
-        at = min(at, len(view)) - len(inflate.unused_data)
+            held = inflate.unused_data if inflate.eof else file.read(CHUNK)
+        held = held or file.read(CHUNK)
         yield out
 
 
+def opened(path: str):
+    """A file of a store that Python can open."""
+    if path.startswith("file:"):
+        return open(urllib.request.url2pathname(urllib.parse.urlsplit(path).path), "rb")
+    store, inner = pyarrow.fs.FileSystem.from_uri(path)
+    return store.open_input_stream(inner)
+
+
 def parse(member: bytearray) -> dict:
     """The record in one member: page, type, refers_to, digest, payload length and payload (None for a revisit)."""
     end = member.find(b"\r\n\r\n")
@@ -111,7 +128,7 @@ def parse(member: bytearray) -> dict:
 
 def write_warc(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html",
-    least_bytes: int = 0, records_per_file: int = 5_000,
+    least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES,
 ) -> None:
     """Writes a record for each row to archives in ``folder``.
 
@@ -136,17 +153,23 @@ def write_warc(
     )
     dealt = rows.withColumn("_key", key).join(first, F.col("_key") == F.col("_of"), "left")
 
-    def run(r: dict) -> dict:
-        made = []
-        for page, url, body, at in zip(r["_id"], r["_url"], r["_payload"], r["_first"]):
-            revisit = at is not None and at != page
-            made.append(record(page, url, bytes(body), at, revisit)[:-1])
-        return {"member": made}
-
-    out = arrow_map(dealt, ["_id", "_url", "_payload", "_first"], "member binary", run, rows=64)
-    out.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option(
-        "maxRecordsPerFile", records_per_file
-    ).mode("overwrite").text(folder)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                page, url, body, at = (batch.column(c)[i].as_py() for c in range(4))
+                made = record(page, url, body, at, at is not None and at != page)
+                if held and size + len(made) > archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["archive"])
+                    held, size = [], 0
+                held.append(made)
+                size += len(made)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["archive"])
+
+    # A row is an archive, and the separator its last byte.
+    out = dealt.select("_id", "_url", "_payload", "_first").mapInArrow(run, "archive binary")
+    out.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).mode("overwrite").text(folder)
 
 
 def read_warc(spark, folder: str, payloads: bool = False) -> DataFrame:
@@ -154,7 +177,10 @@ def read_warc(spark, folder: str, payloads: bool = False) -> DataFrame:
 
     A record that is cut short or doesn't match its digests fails the job.
     """
-    archives = spark.read.format("binaryFile").load(folder).select("content")
+    found = spark.read.format("binaryFile").load(folder)
+    first = found.select("path").first()
+    streamed = bool(first) and first.path.split(":")[0] in STREAMED
+    archives = found.select("path") if streamed else found.select("content")
     fields = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes"] + ["payload"] * payloads
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: len(fields)]
 
@@ -162,7 +188,7 @@ def read_warc(spark, folder: str, payloads: bool = False) -> DataFrame:
         for batch in batches:
             for archive in batch.column(0):
                 held: list[dict] = []
-                for member in members(archive.as_buffer()):
+                for member in members(opened(archive.as_py()) if streamed else archive.as_buffer()):
                     if member:
                         held.append(parse(member))
                     if len(held) == 256:
@@ -181,4 +207,16 @@ def op7_warc(spark, sf_dir):
 
 
 QUERIES = {"op7_warc": op7_warc}
-ORACLE: dict[str, str] = {}
+
+ORACLE = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        q AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+        d AS (SELECT *, [strpos('0123456789abcdef', substr(x, i, 1)) - 1 for i in range(1, 41)] AS v FROM q)
+        SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (((v[5 * i // 4 + 1] * 16 + v[5 * i // 4 + 2]) >> (3 - 5 * i % 4)) & 31)::INT + 1, 1) for i in range(32)], '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d
+    """
+}

@@ -400,7 +400,7 @@ def test_quality_query_equals_a_slow_version(spark):
 # ---- WARC
 
 
-def test_warc_round_trip(spark, tmp_path):
+def test_warc_round_trip(spark, tmp_path, monkeypatch):
     big = "".join(random.Random(1).choices("abcdefgh", k=200_000))
     rows = [(1, "http://a", "same"), (5, "http://b", "same"), (0, None, None), (7, "u", ""), (9, "http://c", big), (9, "http://c", big), (None, "x", "lone"), (4, "s p", "é" * 40), (2, "http://d", "\r\n\r\n" * 5)]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, record_type int")
@@ -420,12 +420,34 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == sorted(want)
     files = [p.read_bytes() for p in Path(folder).glob("part-*")]
     assert sum(gzip.decompress(f).count(b"WARC/1.1\r\n") for f in files) == len(rows)
+    assert len(files) < len(rows)
+    monkeypatch.setattr(warc, "STREAMED", ())
+    assert warc.read_warc(spark, folder, payloads=True).count() == len(rows)
+    warc.write_warc(pages.repartition(1), folder, archive_bytes=1)
+    assert len(list(Path(folder).glob("part-*"))) == len(rows) == warc.read_warc(spark, folder).count()
     warc.write_warc(pages, folder, least_bytes=100)
     assert warc.read_warc(spark, folder).filter("record_type = 'revisit'").count() == 0
     warc.write_warc(pages.limit(0), folder)
     assert warc.read_warc(spark, folder).count() == 0
 
 
+def test_a_large_archive_is_read_in_little_memory(tmp_path):
+    """100 MB of archive, of records that don't compress, are read from the file with a few of them held at a time."""
+    import tracemalloc
+
+    body, path = random.Random(2).randbytes(1 << 20), tmp_path / "x y.warc.gz"
+    one = warc.record(1, "u", body, None, False)
+    with open(path, "wb") as f:
+        for _ in range(100):
+            f.write(one)
+    tracemalloc.start()
+    with warc.opened(path.as_uri()) as file:
+        assert sum(warc.parse(m)["payload_bytes"] for m in warc.members(file)) == 100 << 20
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 << 20
+
+
 def test_warc_reader_refuses_damage():
     good = warc.record(1, "u", b"payload", None, False)
     assert [warc.parse(m)["payload"] for m in warc.members(good + good)] == [b"payload"] * 2

@@ -5,6 +5,8 @@ Every choice follows a total order, so results don't depend on how rows are part
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,27 +36,25 @@ def greedy_one_to_one(
     """Greedy assignment in ``order`` within each group of ``keys``: a pair is taken unless one of its ends is.
 
     Runs as rounds of mutual best: a pair that is first for both its ends is taken by greedy too, whatever comes before it.
-    Each round is cut. A chain of ever better pairs takes as many rounds as it is long; what is left after
-    ``most_rounds`` is finished group by group in order.
+    Each round is cut, and takes one pair at least. A chain of ever better pairs takes as many rounds as it is long; what is left
+    of groups after ``most_rounds`` is finished group by group in order, and without ``keys`` the rounds go on.
     """
     left_w = Window.partitionBy(*keys, left).orderBy(*order)
     right_w = Window.partitionBy(*keys, right).orderBy(*order)
-    rest, taken = cut(pairs), []
-    for _ in range(most_rounds):
+    rest, taken, rounds = cut(pairs), [], 0
+    while True:
+        if keys and rounds == most_rounds:
+            taken.append(_in_order(rest, keys, left, right, order))
+            break
+        rounds += 1
         ranked = rest.withColumns({"_l": F.row_number().over(left_w), "_r": F.row_number().over(right_w)})
         best = cut(ranked.filter("_l = 1 AND _r = 1").drop("_l", "_r"))
         if best.isEmpty():
             break
-        taken.append(best)
+        taken = [*taken, best] if len(taken) < 16 else [cut(functools.reduce(DataFrame.unionByName, taken)), best]
         ends = [best.select(*keys, end) for end in (left, right)]
         rest = cut(rest.join(ends[0], [*keys, left], "left_anti").join(ends[1], [*keys, right], "left_anti").select(*pairs.columns))
-    else:
-        if not rest.isEmpty():
-            taken.append(_in_order(rest, keys, left, right, order))
-    out = taken[0] if taken else rest
-    for part in taken[1:]:
-        out = out.unionByName(part)
-    return out
+    return functools.reduce(DataFrame.unionByName, taken) if taken else rest
 
 
 def _in_order(pairs: DataFrame, keys: list[str], left: str, right: str, order: list[Column]) -> DataFrame:
@@ -70,8 +70,7 @@ def _in_order(pairs: DataFrame, keys: list[str], left: str, right: str, order: l
                 kept.append(row.Index)
         return group.loc[kept].drop(columns="_at")
 
-    grouped = ranked.groupBy(*keys) if keys else ranked.groupBy(F.lit(0))
-    return grouped.applyInPandas(run, pairs.schema)
+    return ranked.groupBy(*keys).applyInPandas(run, pairs.schema)
 
 
 def top_one_then_unique(pairs: DataFrame, keys: list[str], left: str, right: str, order: list[Column]) -> DataFrame:

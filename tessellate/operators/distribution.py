@@ -24,28 +24,51 @@ CLOUD = "n long, mean array<double>, cov array<array<double>>"
 
 def shrunk_covariance(x: np.ndarray) -> np.ndarray:
     """The Ledoit-Wolf (2004) estimate: the sample covariance drawn towards a multiple of the identity."""
-    n, d = x.shape
+    x = x - x.mean(axis=0)
+    return _shrunk(len(x), x.T @ x, float(((x * x).sum(axis=1) ** 2).sum()))
+
+
+def _shrunk(n: int, outer: np.ndarray, fourth: float) -> np.ndarray:
+    """The same from sums over centred vectors: of their outer products, and of the fourth powers of their lengths."""
+    d = len(outer)
     if n < 2:
         return np.eye(d) * RIDGE
-    x = x - x.mean(axis=0)
-    sample = x.T @ x / n
+    sample = outer / n
     centre = np.trace(sample) / d
     spread = ((sample - centre * np.eye(d)) ** 2).sum() / d
     # The mean squared distance of the outer products from the sample covariance, without building any of them.
-    noise = (((x * x).sum(axis=1) ** 2).sum() / n - (sample**2).sum()) / (n * d)
+    noise = (fourth / n - (sample**2).sum()) / (n * d)
     share = 0.0 if spread == 0 else min(max(noise, 0.0), spread) / spread
     return (1 - share) * sample + share * centre * np.eye(d)
 
 
 def fit_clouds(vectors: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
-    """(keys, n, mean, cov) of each group's vectors."""
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.select(*keys).schema)
+    """(keys, n, mean, cov) of each group's vectors.
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group[vector].to_numpy()).astype(float)
-        return pd.DataFrame([[*key, len(x), x.mean(axis=0).tolist(), shrunk_covariance(x).tolist()]], columns=[*keys, "n", "mean", "cov"])
+    Two passes: the means, and then sums over centred vectors, made within each slice of rows. So a group of any size comes
+    to one task as a row of sums for each slice, and not as its vectors.
+    """
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.select(*keys).schema)
 
-    return vectors.select(*keys, vector).groupBy(*keys).applyInPandas(run, f"{types}, {CLOUD}")
+    rows = vectors.select(*keys, F.col(vector).cast("array<double>").alias("_v"))
+    at = rows.select(*keys, F.posexplode("_v").alias("_i", "_x")).groupBy(*keys, "_i").agg(F.avg("_x").alias("_x"))
+    means = at.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda e: e["_x"]).alias("mean"))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for key, own in batch.groupby(keys, sort=False, dropna=False):
+                x = np.stack(own["_v"].to_numpy()) - np.asarray(own["mean"].iloc[0])
+                made.append([*key, len(own), own["mean"].iloc[0], (x.T @ x).ravel(), float(((x * x).sum(axis=1) ** 2).sum())])
+            yield pd.DataFrame(made, columns=[*keys, "n", "mean", "outer", "fourth"])
+
+    def whole(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        mean, n = parts["mean"].iloc[0], int(parts["n"].sum())
+        outer = np.sum(np.stack(parts["outer"].to_numpy()), axis=0).reshape(len(mean), -1)
+        return pd.DataFrame([[*key, n, list(mean), _shrunk(n, outer, float(parts["fourth"].sum())).tolist()]], columns=[*keys, "n", "mean", "cov"])
+
+    sums = rows.join(means, keys).mapInPandas(partial, f"{types}, n long, mean array<double>, outer array<double>, fourth double")
+    return sums.groupBy(*keys).applyInPandas(whole, f"{types}, {CLOUD}")
 
 
 def _inverse(s: np.ndarray) -> np.ndarray:

@@ -112,7 +112,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str] = KEY, most_r
 
 
 def levels(nodes: DataFrame, edges: DataFrame, roots: DataFrame, keys: list[str] = KEY, most_rounds: int = 1000) -> DataFrame:
-    """(keys, node, level): steps from the nearest root (keys, node); null where no root reaches."""
+    """(keys, node, level): steps from the nearest root (keys, node); null where no root reaches. Fails beyond ``most_rounds`` levels."""
     seen = cut(roots.select(*keys, "node").distinct().withColumn("level", F.lit(0)))
     front = seen
     step = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("_to"))
@@ -120,9 +120,9 @@ def levels(nodes: DataFrame, edges: DataFrame, roots: DataFrame, keys: list[str]
         new = front.join(step, [*keys, "node"]).select(*keys, F.col("_to").alias("node")).distinct()
         front = cut(new.join(seen, [*keys, "node"], "left_anti").withColumn("level", F.lit(d)))
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return nodes.select(*keys, "node").join(seen, [*keys, "node"], "left")
+            return nodes.select(*keys, "node").join(seen, [*keys, "node"], "left")
+        seen = cut(seen.unionByName(front)) if d % 16 == 0 else seen.unionByName(front)
+    raise RuntimeError(f"more than {most_rounds} levels")
 
 
 def visual_edges(tables: ModelTables) -> DataFrame:

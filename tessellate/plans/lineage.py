@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in spark.checkpoint.dir; a temporary folder is set only where the session names none."""
+    """Materialises ``df`` in spark.checkpoint.dir; a temporary folder is set only where the session names none and is local."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessellate-"))
     return df.checkpoint(eager=True)

@@ -33,16 +33,24 @@ def ascii_lower(text: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The shared folder the session names in spark.checkpoint.dir; a temporary one only where none is set and the session is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessellate-"))
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of any store that Spark writes to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared checkpoint folder and cuts its lineage.
 

@@ -112,6 +112,12 @@ def unmapped(status: DataFrame, keys: list[str] = PAIR) -> DataFrame:
     )
 
 
+def statuses_of_reports(reports: DataFrame, keys: list[str] = PAIR) -> DataFrame:
+    """(keys, side, kind, entity, name, status, matched_to): the elements of reports as ``pair_reports`` makes them, or as they were read back."""
+    sides = [reports.select(*keys, F.lit(s).alias("side"), F.explode(f"side_{s}.elements").alias("e")) for s in "ab"]
+    return sides[0].unionByName(sides[1]).select(*keys, "side", *[F.col(f"e.{c}").alias(c) for c in ("kind", "entity", "name", "status", "matched_to")])
+
+
 def pair_reports(status: DataFrame, keys: list[str] = PAIR) -> DataFrame:
     """Nested reports, one row a pair: summary counts and the elements of each side."""
     item = F.struct("kind", "entity", "name", "status", "matched_to")

@@ -77,6 +77,11 @@ def association_anchors(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, an
     return found.select(*PAIR, F.col("assoc_a").alias("a"), F.col("assoc_b").alias("b"))
 
 
+def anchors_within(anchors: DataFrame, domains: DataFrame) -> DataFrame:
+    """The anchors of the domains under study (rows with ``domain``)."""
+    return anchors.join(domains.select("domain").distinct(), "domain", "left_semi")
+
+
 def lin_similarity(anchor_a: Column, anchor_b: Column, node_a: Column, node_b: Column) -> Column:
     """Twice the mean information of the anchors over the sum of the nodes'; not capped, 0 where that sum isn't over 0."""
     total = node_a + node_b

@@ -73,6 +73,26 @@ def read_links(spark: SparkSession, path: str, keep_repeats: bool = False) -> Da
     return links if keep_repeats else links.distinct()
 
 
+def read_turtle(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, subject, predicate, object) of Turtle statements with whole IRIs, one subject each; names are what follows the last ``#``.
+
+    A statement ends with a full stop at the end of a line, as line breaks within literals are written as escapes.
+    """
+    said = F.regexp_extract_all("value", F.lit(r'<([^>]+)> (?:<[^>]+>|"(?:[^"\\]|\\.)*")(?= ;| *$)'), F.lit(0))
+    rows = spark.read.option("lineSep", " .\n").text(path).filter(F.trim("value") != "")
+    rows = rows.select(F.regexp_extract("value", r"^\s*<([^>]+)>", 1).alias("s"), F.explode(said).alias("x"))
+    parts = rows.select("s", F.regexp_extract("x", "^<([^>]+)>", 1).alias("p"), F.regexp_replace("x", "^<[^>]+> ", "").alias("o"))
+    literal = F.substring("o", F.lit(2), F.length("o") - 2)
+    plain = F.replace(literal, F.lit("\\\\"), F.lit("\0"))
+    for sign, of in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\0", "\\")):
+        plain = F.replace(plain, F.lit(sign), F.lit(of))
+    data, kind = F.col("o").startswith('"'), F.when(F.col("p").endswith("#type"), "class")
+    return parts.select(
+        kind.when(data, "data").otherwise("object").alias("kind"), _local(F.col("s")).alias("subject"), _local(F.col("p")).alias("predicate"),
+        F.when(data, plain).otherwise(_local(literal)).alias("object"),
+    )
+
+
 def class_labels(assertions: DataFrame, cls: str) -> DataFrame:
     """(id, label) of the instances of a class: the first of their names."""
     own = assertions.filter((F.col("kind") == "class") & (F.col("object") == cls)).select("subject").distinct()

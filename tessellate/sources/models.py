@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessellate.functions.text import sanitize
+from tessellate.plans.lineage import cut
 
 ATTRIBUTES = "array<struct<name:string,type:string>>"
 SCHEMA = f"""
@@ -35,7 +36,10 @@ def _first_list(a: Column, b: Column) -> Column:
 
 
 def scan_models(spark: SparkSession, path: str) -> DataFrame:
-    """One row per JSON file below ``path``: domain, path, versioned, corrupt, and the content under one spelling.
+    """One row per JSON file below ``path``: domain, path, versioned (three forms), corrupt, and the content under one spelling.
+
+    versioned: the file's name says ``_model_v`` and a digit. versioned_short: ``_v1`` to ``_v3`` before another part of it.
+    original: it doesn't say ``variation``.
 
     A file that can't be parsed gives a row with ``corrupt`` set, instead of failing the others.
     """
@@ -50,7 +54,8 @@ def scan_models(spark: SparkSession, path: str) -> DataFrame:
         F.url_decode(F.element_at(parts, -2)).alias("domain"),
         _first_text(F.col("modelName"), F.lit("UnknownModel")).alias("model"),
         "path",
-        F.lower(file).rlike(r"_model_v\d").alias("versioned"),
+        F.lower(file).rlike(r"_model_v\d").alias("versioned"), F.lower(file).rlike("_v[123][_.]").alias("versioned_short"),
+        (~F.lower(file).contains("variation")).alias("original"),
         F.col("_corrupt_record").isNotNull().alias("corrupt"),
         F.when(F.col("observables").isNotNull(), "A").otherwise("B").alias("type_ab"),
         F.coalesce("observables", F.array()).alias("observables"),
@@ -73,6 +78,13 @@ def scan_models(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def batch_counts(scanned: DataFrame) -> DataFrame:
+    """(converted, failed): how many files could be parsed, and how many couldn't."""
+    # Spark parses no file for the corrupt mark alone, so what is counted is read with another field and cut first.
+    read = cut(scanned.select("corrupt", F.size("entities").alias("entities")))
+    return read.agg(F.count_if(~F.col("corrupt")).alias("converted"), F.count_if("corrupt").alias("failed"))
+
+
 @dataclass
 class ModelTables:
     """model, entity, attribute, association, participant and observable tables of any number of models."""
@@ -88,6 +100,10 @@ class ModelTables:
         """The tables of the models for which a condition on domain and model holds."""
         return ModelTables(*[getattr(self, f.name).filter(condition) for f in fields(self)])
 
+    def of_domain(self, domain: str) -> ModelTables:
+        """The tables of one domain, whatever the case of its name."""
+        return self.where(F.lower("domain") == domain.lower())
+
     def cached(self) -> ModelTables:
         return ModelTables(*[getattr(self, f.name).persist() for f in fields(self)])
 
@@ -97,7 +113,7 @@ def flatten_models(scanned: DataFrame) -> ModelTables:
     last = Window.partitionBy(*KEY).orderBy(F.col("path").desc())
     rows = scanned.filter(~F.col("corrupt")).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
     model = rows.select(
-        *KEY, sanitize("model").alias("safe_name"), "type_ab", "versioned", "topic_domain", "description", "method_basis", "path",
+        *KEY, sanitize("model").alias("safe_name"), "type_ab", "versioned", "versioned_short", "original", "topic_domain", "description", "method_basis", "path",
         (F.size("observables") > 0).alias("declares"),
     )
     defined = rows.select(*KEY, F.posexplode("entities").alias("pos", "e"))

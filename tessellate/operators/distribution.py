@@ -50,7 +50,7 @@ def fit_clouds(vectors: DataFrame, keys: list[str], vector: str = "vector") -> D
     """
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.select(*keys).schema)
 
-    rows = vectors.select(*keys, F.col(vector).cast("array<double>").alias("_v"))
+    rows = cut(vectors.select(*keys, F.col(vector).cast("array<double>").alias("_v")))  # read twice
     at = rows.select(*keys, F.posexplode("_v").alias("_i", "_x")).groupBy(*keys, "_i").agg(F.avg("_x").alias("_x"))
     means = at.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda e: e["_x"]).alias("mean"))
 

@@ -293,12 +293,10 @@ def best_target_per_source(spark, sf_dir):
     t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, target) = 1)
     SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, query) = 1""")
 def top1_then_unique(spark, sf_dir):
-    """The queries are the rows whose id is divisible by 100, the targets all others. Each task keeps a query's best target, so pairs aren't shuffled."""
+    """The queries are the rows whose id is divisible by 100, the targets all others."""
     e, asked = _t(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0
-    q, c = (e.filter(x).select(F.col("vec_id").alias(n), F.col("embedding").alias(f"v_{n}")) for x, n in ((asked, "query"), (~asked, "target")))
-    scored = c.join(q, F.lit(True)).select("query", "target", F.round(cosine(F.col("v_query"), F.col("v_target")), 6).alias("score"))
-    best = scored.groupBy("query").agg(F.max(F.struct("score", (-F.col("target")).alias("t"))).alias("m"))
-    first = best.select("query", (-F.col("m.t")).alias("target"), F.col("m.score").alias("score"))
+    q, c = (e.filter(x).select(F.col("vec_id").alias(n), "embedding") for x, n in ((asked, "query"), (~asked, "target")))
+    first = assign.best_by_cosine(q, c, "query", "target", "embedding")
     return assign.top_k(first, ["target"], [F.col("score").desc(), F.col("query")])
 
 

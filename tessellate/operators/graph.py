@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellate.functions.text import long_token_set, word_tokens
-from tessellate.plans.lineage import cut
+from tessellate.plans.lineage import cut, parts
 from tessellate.sources.models import KEY, ModelTables
 
 #: Words that say containment after an entity's name in an association's.
@@ -20,10 +20,16 @@ CONTAINMENT_VERBS = (
 )
 
 
-def mirrored(edges: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Undirected edges (keys, src, dst) in both directions, once each."""
-    back = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return edges.select(*keys, "src", "dst").unionByName(back).distinct()
+def mirrored(edges: DataFrame, keys: list[str] = KEY, rows: int | None = None) -> DataFrame:
+    """Undirected edges (keys, src, dst) in both directions, once each; ``rows`` is the number of ``edges``, where they are many."""
+    kept = F.col("src").isNull() | (F.col("src") <= F.col("dst"))
+    ends = [F.when(kept, F.col(x)).otherwise(F.col(y)).alias(n) for x, y, n in (("src", "dst", "_a"), ("dst", "src", "_b"))]
+    once = edges.select(*keys, *ends)
+    if rows is not None:
+        once = once.repartition(parts(edges.sparkSession, rows), "_a", "_b")  # without the keys, since a constant one would make groups be dealt again
+    there, back = (F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in (("_a", "_b"), ("_b", "_a")))
+    both = F.when(F.col("_a").eqNullSafe(F.col("_b")), F.array(there)).otherwise(F.array(there, back))
+    return once.distinct().select(*keys, F.inline(both))
 
 
 def topology(tables: ModelTables, keep_empty: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -56,17 +62,30 @@ def information_content(nodes: DataFrame, edges: DataFrame, keys: list[str] = KE
     return deg.join(top, keys).select(*keys, "node", "degree", ic.alias("ic"))
 
 
-def within_hops(start: DataFrame, edges: DataFrame, keys: list[str] = KEY, hops: int = 2) -> DataFrame:
-    """(keys, node, near, dist) of what lies 1 to ``hops`` steps from each start node (keys, node), at its least distance."""
-    step = edges.select(*keys, F.col("src").alias("_at"), F.col("dst").alias("near"))
-    level = start.select(*keys, "node", F.col("node").alias("_at"))
+def within_hops(start: DataFrame, edges: DataFrame, keys: list[str] = KEY, hops: int = 2, rows: int | None = None) -> DataFrame:
+    """(keys, node, near, dist) of what lies 1 to ``hops`` steps from each start node (keys, node), at its least distance.
+
+    ``rows`` is the number of walks, or of edges if that is larger, where they are many: steps are dealt by it, and by nodes alone,
+    since a constant key would make joins and groups be dealt again.
+    """
+    deal = lambda df, *by: df if rows is None else df.repartition(parts(df.sparkSession, rows), *by)
+    step = deal(edges.select(*keys, F.col("src").alias("_at"), F.col("dst").alias("near")), "_at")
+    level = start.select(*keys, "node", F.col("node").alias("_at")).distinct()
     out = None
     for d in range(1, hops + 1):
-        reached = level.join(step, [*keys, "_at"]).select(*keys, "node", "near").distinct()
-        rows = reached.withColumn("dist", F.lit(d))
-        out = rows if out is None else out.unionByName(rows)
+        reached = deal(level, "_at").join(step, [*keys, "_at"]).select(*keys, "node", "near")
+        reached = reached.distinct() if d < hops else reached  # the last step's are met below
+        found = reached.withColumn("dist", F.lit(d))
+        out = found if out is None else out.unionByName(found)
         level = reached.select(*keys, "node", F.col("near").alias("_at"))
-    return out.filter("near <> node").groupBy(*keys, "node", "near").agg(F.min("dist").alias("dist"))
+    return deal(out.filter("near <> node"), "node", "near").groupBy(*keys, "node", "near").agg(F.min("dist").alias("dist"))
+
+
+def two_step_walks(start: DataFrame, edges: DataFrame, keys: list[str] = KEY) -> int:
+    """How many walks of one or two steps begin at the start nodes (keys, node, once each); ``edges`` holds both directions."""
+    begun = start.select(*keys, F.col("node").alias("dst"), F.lit(1).alias("_begun"))
+    around = edges.join(begun, [*keys, "dst"], "left").groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("n"), F.count("_begun").alias("begun"))
+    return around.agg(F.sum(F.col("begun") * (F.col("n") + 1))).first()[0] or 0
 
 
 def parents(tables: ModelTables) -> DataFrame:
@@ -96,6 +115,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str] = KEY, most_r
     """
     labels = cut(nodes.select(*keys, "node", F.col("node").alias("component")))
     pairs = cut(edges.select(*keys, "src", "dst"))
+    pairs = pairs.repartition(parts(pairs.sparkSession, pairs.count()), *keys, "dst")
     for _ in range(most_rounds):
         near = (
             pairs.join(labels.select(*keys, F.col("node").alias("dst"), "component"), [*keys, "dst"])

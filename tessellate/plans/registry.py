@@ -362,9 +362,9 @@ def smaller_side(spark, sf_dir):
 
 def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Suppliers and parts, linked by line items; suppliers have even nodes, parts odd ones."""
-    pairs = _t(spark, sf_dir, "lineitem").select(
-        F.lit(0).alias("g"), (F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
-    edges = graph.mirrored(pairs, ["g"])
+    line = _t(spark, sf_dir, "lineitem")
+    pairs = line.select(F.lit(0).alias("g"), (F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
+    edges = graph.mirrored(pairs, ["g"], line.count())
     return edges.select("g", F.col("src").alias("node")).distinct(), edges
 
 
@@ -388,11 +388,11 @@ ANCHORS = "an AS (SELECT p_partkey * 2 + 1 AS near FROM part WHERE p_size = 1)"
     h AS (SELECT src AS node, dst AS near, 1 AS dist FROM e UNION ALL SELECT x.src, y.dst, 2 FROM e x JOIN e y ON x.dst = y.src WHERE x.src <> y.dst)
     SELECT node, near, min(dist) AS dist FROM h JOIN an USING (near) WHERE node <> near GROUP BY ALL""")
 def two_hop_anchors(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    anchors = _t(spark, sf_dir, "part").filter("p_size = 1").select((F.col("p_partkey") * 2 + 1).alias("near"))
-    # Parts of size 1 are the query's set of anchors. The neighbourhood is symmetric, so it is grown from the anchors, of which there are fewer.
-    start = nodes.join(anchors, F.col("node") == F.col("near"), "left_semi")
-    return graph.within_hops(start, edges, ["g"]).select(F.col("near").alias("node"), F.col("node").alias("near"), "dist")
+    """Parts of size 1 are the query's set of anchors. The neighbourhood is symmetric, so it is grown from the anchors, of which there are fewer."""
+    _, edges = _graph(spark, sf_dir)
+    start = _t(spark, sf_dir, "part").filter("p_size = 1").select(F.lit(0).alias("g"), (F.col("p_partkey") * 2 + 1).alias("node")).distinct()
+    rows = max(graph.two_step_walks(start, edges, ["g"]), 2 * _t(spark, sf_dir, "lineitem").count())
+    return graph.within_hops(start, edges, ["g"], rows=rows).select(F.col("near").alias("node"), F.col("node").alias("near"), "dist")
 
 
 @query(f"""
@@ -404,12 +404,14 @@ def lin_candidates(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     ic = graph.information_content(nodes, edges, ["g"])
     anchors = _t(spark, sf_dir, "part").filter("p_size = 1").select((F.col("p_partkey") * 2 + 1).alias("anchor"))
-    near = anchors.join(edges, F.col("anchor") == F.col("src")).select("anchor", F.col("dst").alias("u"))
-    rows = near.withColumnRenamed("u", "u_a").join(near.withColumnRenamed("u", "u_b"), "anchor").filter("u_a < u_b")
-    for n, i in (("anchor", "i"), ("u_a", "a"), ("u_b", "b")):
-        rows = rows.join(ic.select(F.col("node").alias(n), F.col("ic").alias(f"ic_{i}")), n)
+    known = ic.select("node", "ic")
+    # Information is joined to the anchors' edges, which are fewer than their pairs.
+    near = anchors.distinct().join(edges, F.col("anchor") == F.col("src")).select("anchor", F.col("dst").alias("node")).join(known, "node")
+    u_a, u_b = (near.select("anchor", F.col("node").alias(f"u_{x}"), F.col("ic").alias(f"ic_{x}")) for x in "ab")
+    own = anchors.join(known, F.col("anchor") == F.col("node")).select("anchor", F.col("ic").alias("ic_i"))
+    rows = u_a.join(own, "anchor").join(u_b, "anchor").filter("u_a < u_b AND ic_a + ic_b > 0")
     score = lin_similarity(F.col("ic_i"), F.col("ic_i"), F.col("ic_a"), F.col("ic_b")) / 2
-    return rows.filter("ic_a + ic_b > 0").select("u_a", "u_b", "anchor", F.round(score, 6).alias("score"))
+    return rows.select("u_a", "u_b", "anchor", F.round(score, 6).alias("score"))
 
 
 def _containment(spark, sf_dir) -> DataFrame:

@@ -157,3 +157,54 @@ def test_levels_fail_rather_than_stop(spark):
     assert {r.node: r.level for r in graph.levels(nodes, edges, root, ["g"]).collect()} == {i: i for i in range(21)} | {21: None}
     with pytest.raises(RuntimeError, match="levels"):
         graph.levels(nodes, edges, root, ["g"], most_rounds=5)
+
+
+def test_graphs_of_odd_edges(spark):
+    from tessellate.operators import graph
+
+    rows = [(0, 1, 2), (0, 2, 1), (0, 3, 3), (0, 3, 3), (0, None, 4), (0, 4, None), (0, None, None), (1, 2, 1), (0, 2, 5), (0, 5, 6)]
+    edges = spark.createDataFrame(rows, "g int, src int, dst int")
+    want = {r for g, a, b in rows for r in ((g, a, b), (g, b, a))}
+    for n in (None, len(rows)):
+        got = [tuple(r) for r in graph.mirrored(edges, ["g"], n).collect()]
+        assert set(got) == want and len(got) == len(want)
+    both = graph.mirrored(edges, ["g"]).filter("src IS NOT NULL AND dst IS NOT NULL")
+    start = spark.createDataFrame([(0, 1), (0, 3), (0, 9)], "g int, node int")
+    walks = [(a, b, b) for g, a, b in want if g == 0 and a in (1, 3) and b] + [
+        (a, b, d) for g, a, b in want for h, c, d in want if g == h == 0 and a in (1, 3) and b and b == c and d]
+    assert graph.two_step_walks(start, both, ["g"]) == len(walks)
+    for n in (None, len(walks)):
+        got = {(r.node, r.near): r.dist for r in graph.within_hops(start, both, ["g"], rows=n).collect()}
+        assert got == {(1, 2): 1, (1, 5): 2}
+
+
+def _dealt(df):
+    """The partitions that rows are dealt to by their number."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\), REPARTITION_BY_NUM", plan)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["graph_degree_ic", "two_hop_anchors", "lin_candidates"])
+def test_partitions_of_graphs_grow_with_the_rows(spark, name, monkeypatch):
+    from tessellate.plans import lineage
+
+    monkeypatch.setattr(lineage, "ROWS_A_TASK", 100)
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    dealt = _dealt(registry.QUERIES[name](spark, DATA))
+    assert dealt and min(dealt) >= -(-lines // 100)
+
+
+def test_components_deal_edges_by_their_number(spark, monkeypatch):
+    from tessellate.operators import graph
+    from tessellate.plans import lineage
+
+    monkeypatch.setattr(lineage, "ROWS_A_TASK", 3)
+    asked, given = [], graph.parts
+    monkeypatch.setattr(graph, "parts", lambda s, n: asked.append(given(s, n)) or asked[-1])
+    nodes = spark.createDataFrame([(0, i) for i in range(30)], "g int, node int")
+    edges = graph.mirrored(spark.createDataFrame([(0, i, i + 1) for i in range(28)], "g int, src int, dst int"), ["g"])
+    got = {r.node: r.component for r in graph.components(nodes, edges, ["g"]).collect()}
+    assert got == {i: 0 for i in range(29)} | {29: 29} and asked == [19]
